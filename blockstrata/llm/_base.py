@@ -94,3 +94,30 @@ def clashing(df: DataFrame, *names: str) -> DataFrame:
     """Without columns whose names an operator adds (compared as Spark does, without case): the operator's own win."""
     low = {n.lower() for n in names}
     return df.select(*[c for i, c in enumerate(df.columns) if c.lower() not in low])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of rows that come sorted by their first ``keys`` columns of integers: (rows of some groups, their offsets).
+
+    Only a group that goes on past a batch is held until it ends.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for k, c in enumerate(columns):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[-1].as_py() != c[0]
+        at = np.flatnonzero(new)
+        if not len(at):
+            held.append(batch)
+            continue
+        if first := held + ([batch.slice(0, at[0])] if at[0] else []):
+            yield pa.concat_batches(first), np.array([0, sum(b.num_rows for b in first)])
+        if len(at) > 1:
+            yield batch.slice(at[0], at[-1] - at[0]), at - at[0]
+        held = [batch.slice(at[-1])]
+    if held:
+        yield pa.concat_batches(held), np.array([0, sum(b.num_rows for b in held)])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockstrata.llm import chat, pieces, sharding, token_files
+from blockstrata.llm import _ngrams, chat, near_dup, pieces, quality_rules, sharding, site_quality, token_files
 from blockstrata.llm._base import Staged
 
 
@@ -85,3 +85,41 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t6 GROUP BY conv_id"""
 
 ORACLE: dict[str, str] = {"op9_chat": _OP9}
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> object:
+    """The n-gram model of the labelled documents; quality_rules and site_quality each train their own."""
+    return _ngrams.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir), keep=["doc_id"])
+
+
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.judge(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir), keep=["doc_id", "source", "lang"])
+
+
+QUERIES |= {"op3_quality_rules": op3_quality_rules, "op10_site_quality": op10_site_quality}
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+QUERIES["op7_near_dup"] = op7_near_dup
+
+#: All pairs that share a shingle, counted exactly; components by a recursive walk.
+ORACLE["op7_near_dup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE 100 * c >= 85 * (sx.n + sy.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN comp ON comp.x = d.doc_id"""
