@@ -40,13 +40,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+#: Of symbols 0 to 256: a byte plus one, or 0.
+SYMBOL_CODES = np.concatenate([[np.uint64(0xA24BAED4963EE407)], _CODES])
+
+
+def prefix_hashes(raw: np.ndarray, codes: np.ndarray = _CODES) -> np.ndarray:
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(codes[raw] * _powers("base", len(raw)), out=out[1:])
+    return out
+
+
+def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((prefix[ends] - prefix[starts]) * _powers("inverse", len(prefix))[starts])
+
+
 class Texts:
     """A chunk of texts: ``raw`` bytes, ``offs`` offsets of each text in them."""
 
     def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool = False) -> None:
         self.raw, self.offs, n = raw, offs, len(raw)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _CODES)[raw] * _powers("base", n), out=self.prefix[1:])
+        self.prefix = prefix_hashes(raw, _LOWER if lower else _CODES)
         space = _SPACE[raw]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
@@ -63,8 +76,7 @@ class Texts:
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte spans."""
-        inverse = _powers("inverse", len(self.raw) + 1)
-        return mix((self.prefix[ends] - self.prefix[starts]) * inverse[starts])
+        return span_hashes(self.prefix, starts, ends)
 
     def words(self) -> np.ndarray:
         return self.spans(self.starts, self.ends)
@@ -83,3 +95,14 @@ def runs(words: np.ndarray, length: int) -> np.ndarray:
     for k in range(length):
         out += words[k : k + n] * U64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64) | 1)
     return mix(out)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, a place of each, which of them each key is); faster than a stable sort gives the first places."""
+    order = np.argsort(keys)
+    at = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = at[1:] != at[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return at[new], order[new], which

@@ -21,9 +21,9 @@ ignored; an empty table gives no file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,26 +32,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import small_batches, spread, strings
+from blockstrata.llm._base import small_batches, spread, text_chunks
+from blockstrata.llm._words import prefix_hashes, span_hashes
 
 BLOCK = 256
 _MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIQIQ")
-#: White space (or what the tokenizer may take for it) beside a space.
-_TOGETHER = re.compile(r"\s \s?| \s|^ | $")
 _ENCODERS: dict[str, ChunkEncoder] = {}
+_CONTROL_SPACE = np.zeros(256, bool)
+_CONTROL_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
+#: Runs of these behind letters are one piece by themselves.
+_SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
 class ChunkEncoder:
-    """ids of texts as little-endian unsigned 32-bit bytes, by way of a table of distinct chunks."""
+    """ids of texts by way of a bounded table of distinct chunks, keyed by 64-bit hashes.
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    The table has two generations, so that frequent chunks stay when it is full.
+    """
+
+    def __init__(self, path: str, most: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.special = {t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        # byte-level models write printable bytes as themselves and the others from U+0100 on, and take a run of
+        # letters behind a space as one piece; proved on the library itself
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.table = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.model, self.marks = self.tokenizer.model, {"": b""}
+        words = ("the", "Xyzzyqu", "a", "incomprehensibilities", "don", "\u00e9t\u00e9", "Stra\u00dfe", "a\u00f1o", "\u00c0\u0142\u0177", "\u00aa")
+        probes = [f"{w}{m}" for w in words for m in ("", ".", ",!!", "$$$", "%&|<>", "...", "\n", ".\nNext", "\n\u00e9t\u00e9.", "'")]
+        self.direct = True
+        self.direct = all(self._whole(space + p) == self._pieces(p, space) for space in ("", " ") for p in probes if p[-1] != "\n")
 
     @staticmethod
     def of(path: str) -> ChunkEncoder:
@@ -59,32 +77,113 @@ class ChunkEncoder:
             _ENCODERS[path] = ChunkEncoder(path)
         return _ENCODERS[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _pieces(self, word: str, space: str) -> bytes:
+        """ids of a chunk and the space before it; letters with symbols behind them go straight to the library's model."""
+        core = word.rstrip(_SYMBOLS)
+        if self.direct and core:
+            if core.isalpha() and max(core) < "\u0250":
+                rest = word[len(core) :]
+                if rest not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks.clear()
+                        self.marks[""] = b""
+                    self.marks[rest] = self._whole(rest)
+                plain = core if core.isascii() else core.encode().decode("latin-1").translate(self.table)
+                return array("I", [t.id for t in self.model.tokenize("\u0120" + plain if space else plain)]).tobytes() + self.marks[rest]
+            left, line, right = word.partition("\n")
+            if line and left and right and left[-1] not in _SPACES and right[0] not in _SPACES:
+                return self._pieces(left, space) + self._pieces_of_line() + self._pieces(right, "")
+        return self._whole(space + word)
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> list[bytes]:
+        """ids of chunks, each without the space that is before it unless it opens a text."""
+        if not len(starts):
+            return []
+        length = ends - starts
+        joined = np.full(int(length.sum()) + len(starts), 0xFF, np.uint8)  # a byte that UTF-8 never has divides them
+        first = np.cumsum(length + 1) - length - 1
+        joined[np.arange(int(length.sum())) + np.repeat(np.arange(len(starts)), length)] = raw[np.arange(int(length.sum())) + np.repeat(starts - first + np.arange(len(starts)), length)]
+        words = joined[:-1].tobytes().decode("utf-8", "surrogateescape").split("\udcff")
+        out, direct, tokenize, marks, pieces = [], self.direct, self.model.tokenize, self.marks, self._pieces
+        for word, start in zip(words, opens.tolist(), strict=True):
+            core = word.rstrip(_SYMBOLS)
+            if direct and not start and core.isascii() and core.isalpha() and (rest := word[len(core) :]) in marks:
+                out.append(array("I", [t.id for t in tokenize("\u0120" + core)]).tobytes() + marks[rest])
+            else:
+                out.append(pieces(word, "" if start else " "))
+        return out
+
+    def _pieces_of_line(self) -> bytes:
+        if "\n" not in self.marks:
+            self.marks["\n"] = self._whole("\n")
+        return self.marks["\n"]
+
+    def _together(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Texts that must be encoded whole: white space stands beside a space, at an end, or is of a rare kind; or a special token may begin."""
+        bad = np.zeros(len(offs) - 1, bool)
+        full = np.diff(offs) > 0
+        bad[full] = (raw[offs[:-1][full]] == 32) | (raw[offs[1:][full] - 1] == 32)
+        if len(raw) > 1:
+            space, control = raw == 32, _CONTROL_SPACE[raw]
+            at = [np.flatnonzero((space[:-1] & (space[1:] | control[1:])) | (control[:-1] & space[1:]))]
+            for lead, seconds in ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A,)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), *((x[0], tuple(x[1:2])) for x in self.special)):
+                found = np.flatnonzero(raw[:-1] == lead)
+                found = found[np.isin(raw[found + 1], seconds)]
+                if lead == 0xE2:  # of these only U+2000 to U+200A, U+2028, U+2029, U+202F and U+205F are space
+                    third = raw[np.minimum(found + 2, len(raw) - 1)]
+                    found = found[(third <= 0x8A) | np.isin(third, (0xA8, 0xA9, 0xAF, 0x9F))]
+                at.append(found)
+            at = np.concatenate(at)
+            bad[np.searchsorted(offs, at, side="right") - 1] = True
+        return bad
+
+    def chunks(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids of their texts end to end, offsets of each text's ids)."""
+        for a, e, raw, offs in text_chunks(column, 2 << 20):
+            bad = self._together(raw, offs)
+            prefix = prefix_hashes(raw)
+            spaces = np.flatnonzero(raw == 32)
+            if bad.any():
+                spaces = spaces[~bad[np.searchsorted(offs, spaces, side="right") - 1]]
+            firsts = offs[:-1][~bad & (np.diff(offs) > 0)]
+            starts, ends = np.concatenate([firsts, spaces + 1]), np.concatenate([spaces, offs[1:][~bad & (np.diff(offs) > 0)]])
+            order = np.argsort(starts, kind="stable")
+            opens = (np.arange(len(starts)) < len(firsts))[order]
+            starts, ends = starts[order], np.sort(ends)
+            key = span_hashes(prefix, starts, ends)
+            key[opens] ^= _FIRST
+            unique, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+            if len(self.known) > self.most:
+                self.known, self.old = {}, self.known
+            keys = unique.tolist()
+            table = list(map(self.known.get, keys))
+            new = [i for i, ids in enumerate(table) if ids is None]
+            again = list(map(self.old.get, map(keys.__getitem__, new)))
+            unseen = np.array([i for i, ids in zip(new, again, strict=True) if ids is None], np.int64)
+            found = iter(self._learn(raw, starts[index[unseen]], ends[index[unseen]], opens[index[unseen]]))
+            for i, ids in zip(new, again, strict=True):
+                self.known[keys[i]] = table[i] = next(found) if ids is None else ids
+            for i in np.flatnonzero(bad):
+                table.append(self._whole(raw[offs[i] : offs[i + 1]].tobytes().decode()))
+            # the texts encoded whole stand as one chunk each
+            starts = np.concatenate([starts, offs[:-1][bad]])
+            inverse = np.concatenate([inverse, len(unique) + np.arange(int(bad.sum()))])
+            order = np.argsort(starts, kind="stable")
+            starts, inverse = starts[order], inverse[order]
+            length = np.fromiter(map(len, table), np.int64, len(table)) // 4
+            flat = np.frombuffer(b"".join(table), "<u4")
+            count = length[inverse]
+            total = np.zeros(len(count) + 1, np.int64)
+            np.cumsum(count, out=total[1:])
+            at = np.repeat((np.cumsum(length) - length)[inverse] - total[:-1], count) + np.arange(total[-1])
+            yield a, e, flat[at], total[np.searchsorted(starts, offs)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, split = self.known, []
-        for i, text in enumerate(texts):
-            if _TOGETHER.search(text) or any(s in text for s in self.special):
-                out[i] = self._ids([text])[0]
-                split.append(None)
-                continue
-            first, *rest = text.split(" ")
-            split.append((first, rest))
-        new = {c for s in split if s for c in s[1] if c not in known}
-        if new:
-            new = list(new)
-            known.update(zip(new, self._ids([" " + c for c in new]), strict=True))
-        firsts = dict.fromkeys(s[0] for s in split if s)
-        firsts = dict(zip(firsts, self._ids(list(firsts)), strict=True)) if firsts else {}
-        get = known.__getitem__
-        for i, s in enumerate(split):
-            if s:
-                out[i] = firsts[s[0]] + b"".join(map(get, s[1]))
-        return out
+        """ids of each text as little-endian unsigned 32-bit bytes."""
+        return [ids[s:e].tobytes() for _, _, ids, at in self.chunks(pa.array(texts, pa.string())) for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
 def pack(values: np.ndarray, percentile: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +288,15 @@ def files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, most_ids: int
             names, held, seq, before, size = [], [], seq + 1, before + size, 0
             return out
 
-        for batch in small_batches(batches, 256):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(strings(batch.column(1))), strict=True):
-                names.append(doc)
-                held.append(ids + end)
-                size += len(held[-1]) // 4
-                if size >= most_ids:
-                    yield flush()
+        for batch in batches:
+            docs_ids = batch.column(0).to_pylist()
+            for a, e, ids, at in encoder.chunks(batch.column(1)):
+                for i in range(a, e):
+                    names.append(docs_ids[i])
+                    held.append(ids[at[i - a] : at[i - a + 1]].tobytes() + end)
+                    size += len(held[-1]) // 4
+                    if size >= most_ids:
+                        yield flush()
         if held:
             yield flush()
 
