@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockstrata.llm import _ngrams, chat, near_dup, pieces, quality_rules, sharding, site_quality, token_files
+from blockstrata.llm import _ngrams, ann, chat, exact_dedup, near_dup, packing, pieces, quality_rules, sharding, site_quality, token_files
 from blockstrata.llm._base import Staged
 
 
@@ -112,7 +112,8 @@ QUERIES["op7_near_dup"] = op7_near_dup
 #: All pairs that share a shingle, counted exactly; components by a recursive walk.
 ORACLE["op7_near_dup"] = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
@@ -123,3 +124,44 @@ reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l
 comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN comp ON comp.x = d.doc_id"""
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(ann.build(table(spark, sf_dir, "embeddings")))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, packed into sequences of 1,024 to 8,192."""
+    counted = Staged(packing.with_token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")), "op2").read()
+    return packing.pack_sequences(counted, "n_ids")
+
+
+QUERIES |= {"op8_ann": op8_ann, "op2_packing": op2_packing}
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.cut(table(spark, sf_dir, "documents"), 50)
+
+
+QUERIES["op5_exact_dedup"] = op5_exact_dedup
+
+#: Windows of 50 bytes as 100 hexadecimal digits; runs of removed bytes as gaps and islands.
+ORACLE["op5_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, greatest(strlen(h) // 2 - 49, 0))) AS i, h FROM d),
+win AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS a, hash(substr(h, 2 * i + 1, 100) || 'x') AS b FROM w),
+least AS (SELECT a, b, min(doc_id) AS m FROM win GROUP BY a, b),
+bad AS (SELECT doc_id, i FROM win JOIN least USING (a, b) WHERE m < doc_id),
+mark AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM bad),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM mark GROUP BY doc_id, g),
+joined AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM runs),
+isle AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM joined),
+spans AS (SELECT doc_id, k, min(s) AS s, max(e) AS e FROM isle GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM spans
+  UNION ALL SELECT doc_id, 1000000000, max(e), 1000000000 FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY s) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(strlen(d.h) // 2 AS BIGINT) AS n_bytes,
+  CAST(coalesce((SELECT sum(e - s) FROM spans WHERE spans.doc_id = d.doc_id), 0) AS BIGINT) AS n_removed,
+  CAST((SELECT count(*) FROM spans WHERE spans.doc_id = d.doc_id) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
