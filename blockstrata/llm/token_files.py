@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockstrata.llm._base import small_batches, spread, text_chunks
-from blockstrata.llm._words import prefix_hashes, span_hashes
+from blockstrata.llm._words import distinct, prefix_hashes, span_hashes
 
 BLOCK = 256
 _MAGIC = b"PFR1"
@@ -155,7 +155,7 @@ class ChunkEncoder:
             starts, ends = starts[order], np.sort(ends)
             key = span_hashes(prefix, starts, ends)
             key[opens] ^= _FIRST
-            unique, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+            unique, index, inverse = distinct(key)
             if len(self.known) > self.most:
                 self.known, self.old = {}, self.known
             keys = unique.tolist()
