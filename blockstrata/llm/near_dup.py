@@ -9,9 +9,13 @@ that a pair at the threshold shares none with a chance under 1e-7.
 No bucket is expanded into pairs. First each class is tested against the smallest
 class of one of its buckets, the one whose signature agrees best. Components of the
 links found come next. Only where a bucket still holds two components or more are
-its members' signatures compared across them, in blocks of bounded size, and the best
-untested partners of each class in each other component go to the exact test, until
-none is left. Every link is confirmed on full sets.
+its members' signatures compared across them, and of the pairs that may be linked a
+spanning forest is kept, at most one row a member. Its trees are the clusters in which
+links can remain: there each two classes of different components are tested on full
+sets, again keeping a spanning forest. Comparisons run in tasks of two blocks of
+bounded size; what they return grows with the members, not with their pairs. Every
+link is confirmed on full sets, and every pair that may be linked is tested unless its
+ends are already connected.
 
 Defined results: null or wordless texts have an empty set and are linked with nothing;
 rows of one doc_id are one document; a null doc_id is linked with nothing, has a null
@@ -25,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockstrata.llm._base import Staged, grouped, small_batches, spread, text_chunks
@@ -38,8 +42,8 @@ MISS = 1e-7
 SLACK = 5.5
 #: Classes whose ids are handed to every task; beyond, they are joined by shuffle.
 MOST_BROADCAST = 1_000_000
-#: Members of a bucket that are compared with each other in one task; larger buckets are cut into pairs of such blocks.
-BLOCK = 1024
+#: Members of a bucket or cluster in a block, and shingles in a block of full sets; a task compares two blocks.
+BLOCK, WEIGHT = 1024, 1 << 18
 
 
 def bands_for(percent: int) -> int:
@@ -171,42 +175,86 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "x long, y long, linked boolean")
 
 
-def _across(members: DataFrame, need: int, most: int) -> DataFrame:
-    """From (key, rep, comp, signature) of buckets with several components: for each class and other component its ``most`` best agreeing partners (x, y, comp_y, same).
+def _blocked(members: DataFrame, payload: DataFrame, size: Column) -> DataFrame:
+    """Members (key, rep, comp) of each key dealt to ``size`` blocks, with their payload (rep, payload): a row for each two blocks they are in."""
+    blocks = members.groupBy("key").agg(F.ceil(size).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    paired = dealt.join(payload, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = paired.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "comp", "payload")
+    return rows.repartition(spread(members.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b")
 
-    A bucket's members are dealt to blocks, and every two blocks meet in one task, so no task holds more than two blocks.
-    """
-    size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    partner = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = partner.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "comp", "signature")
+
+class _Forest:
+    """Spanning edges among the members of one task."""
+
+    def __init__(self, comp: np.ndarray, rep: np.ndarray) -> None:
+        self.label, self.rep = np.unique(comp, return_inverse=True)[1], rep
+        self.edges: list[tuple[int, int]] = []
+
+    def link(self, i: int, others: np.ndarray) -> None:
+        labels, first = np.unique(self.label[others], return_index=True)
+        for c, k in zip(labels.tolist(), first.tolist(), strict=True):
+            if c != self.label[i]:
+                self.edges.append((int(self.rep[i]), int(self.rep[others[k]])))
+                self.label[self.label == c] = self.label[i]
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    x, y = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+
+def _perhaps(members: DataFrame, signatures: DataFrame, need: int) -> DataFrame:
+    """Spanning edges (x, y) of the pairs in a bucket (key, rep, comp) that agree in ``need`` minima and lie in different components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, offs in grouped(iter(batches), 3):
             a, b, block, rep, comp = (rows.column(k).to_numpy() for k in range(1, 6))
             sig, out = _signatures(rows.column(6)), []
             for s, e in zip(offs[:-1], offs[1:], strict=True):
-                across = comp[s:e, None] != comp[None, s:e]
-                if a[s] != b[s]:
-                    across &= block[s:e, None] != block[None, s:e]
-                for i in np.flatnonzero(across.any(1)):
-                    far = s + np.flatnonzero(across[i])
-                    same = (sig[far] == sig[s + i]).sum(1)
-                    taken: dict[int, int] = {}
-                    for k in np.lexsort((rep[far], -same)):
-                        if same[k] < need:
-                            break
-                        c = int(comp[far[k]])
-                        if taken.setdefault(c, 0) < most:
-                            taken[c] += 1
-                            out.append((int(rep[s + i]), int(rep[far[k]]), c, int(same[k])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["x", "y", "comp_y", "same"]).cast(pa.schema([("x", pa.int64()), ("y", pa.int64()), ("comp_y", pa.int64()), ("same", pa.int32())]))
-
-    sorted_ = paired.repartition(spread(members.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    found = sorted_.mapInArrow(run, "x long, y long, comp_y long, same int").distinct()
-    ranked = found.groupBy("x", "comp_y").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("same")).alias("s"), "y"))), 1, most).alias("best"))
-    return ranked.select("x", F.explode("best").alias("p")).select(F.greatest("x", "p.y").alias("x"), F.least("x", "p.y").alias("y")).distinct()
+                forest = _Forest(np.arange(e - s), rep[s:e])
+                for i in range(e - s):
+                    far = (comp[s:e] != comp[s + i]) & (forest.label != forest.label[i])
+                    if a[s] != b[s]:
+                        far &= block[s:e] != block[s + i]
+                    far = np.flatnonzero(far)
+                    if len(far):
+                        forest.link(i, far[(sig[s + far] == sig[s + i]).sum(1) >= need])
+                out += forest.edges
+            yield _edges(out)
+
+    return _blocked(members, signatures, F.count("*") / BLOCK).mapInArrow(run, "x long, y long")
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges (x, y) of the links in a cluster (key, rep, comp, size) between different components."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, offs in grouped(iter(batches), 3):
+            a, b, block, rep, comp = (rows.column(k).to_numpy() for k in range(1, 6))
+            for s, e in zip(offs[:-1], offs[1:], strict=True):
+                held = [np.frombuffer(x, np.uint64) for x in rows.column(6).slice(s, e - s).to_pylist()]
+                size = np.array([len(x) for x in held])
+                at = np.concatenate([[0], np.cumsum(size)])
+                unique, flat = np.unique(np.concatenate(held), return_inverse=True)
+                mark, forest = np.zeros(len(unique), bool), _Forest(comp[s:e], rep[s:e])
+                for i in range(e - s):
+                    far = (forest.label != forest.label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+                    if a[s] != b[s]:
+                        far &= block[s:e] != block[s + i]
+                    far = np.flatnonzero(far)
+                    if not len(far):
+                        continue
+                    mark[flat[at[i] : at[i + 1]]] = True
+                    own = size[far]
+                    first = np.cumsum(own) - own
+                    hits = mark[flat[np.arange(int(own.sum())) + np.repeat(at[far] - first, own)]]
+                    mark[flat[at[i] : at[i + 1]]] = False
+                    common = np.add.reduceat(hits.astype(np.int64), first)
+                    forest.link(i, far[100 * common >= percent * (own + size[i] - common)])
+                yield _edges(forest.edges)
+
+    return _blocked(members, sets, F.greatest(F.count("*") / BLOCK, F.sum("size") / WEIGHT)).mapInArrow(run, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     member = Staged(some.select("doc_id", "h1", "h2").join(least, ["h1", "h2"]).select("doc_id", "rep").distinct(), "member")
     # a doc_id with several texts links their classes
-    same_doc = member.read().where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
+    same_doc = member.read().where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     classes = some.join(least, ["h1", "h2"]).where("doc_id = rep").select("rep", "signature").dropDuplicates(["rep", "signature"])
     classes = Staged(classes, "classes")
     banded = Staged(_banded(classes.read(), bands), "banded")
@@ -229,34 +277,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     star = bucket.read().where("rep <> first").select(F.col("rep").alias("x"), F.col("first").alias("y")).distinct()
     scored = _agreement(star, classes.read()).where(F.col("same") >= need)
     best = Staged(scored.groupBy("x").agg(F.max(F.struct("same", (-F.col("y")).alias("y"))).alias("b")).select("x", (-F.col("b.y")).alias("y")), "best")
-    wanted = bucket.read().select("rep").distinct()
-    sets = Staged(_full_sets(docs, wanted, words), "sets")
-    tested = [Staged(_confirmed(best.read(), sets.read(), percent), "tested")]
-    best.drop()
-    most = 4
-    while True:
-        links = tested[0].read()
-        for t in tested[1:]:
-            links = links.unionByName(t.read())
-        links = links.where("linked").select("x", "y").unionByName(same_doc)
-        label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-        labelled = bucket.read().select("key", "rep").join(label.read().select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        apart = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-        members = labelled.join(apart, "key").join(classes.read(), "rep")
-        done = tested[0].read().select("x", "y")
-        for t in tested[1:]:
-            done = done.unionByName(t.read().select("x", "y"))
-        across = Staged(_across(members, need, most), "across")
-        fresh = Staged(across.read().join(done, ["x", "y"], "left_anti"), "fresh")
-        across.drop()
-        if fresh.read().isEmpty():
-            break
-        tested.append(Staged(_confirmed(fresh.read(), sets.read(), percent), "tested"))
-        fresh.drop()
-        label.drop()
-        most *= 4
-    for t in (sets, bucket, classes):
+    sets = Staged(_full_sets(docs, best.read().select(F.col("x").alias("rep")).unionByName(best.read().select(F.col("y").alias("rep"))).distinct(), words), "sets")
+    links = Staged(_confirmed(best.read(), sets.read(), percent).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(same_doc), "links")
+    for t in (best, sets):
+        t.drop()
+    label = components(links.read())
+    of = lambda frame: frame.join(label.read().select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    labelled = of(bucket.read().select("key", "rep"))
+    apart = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+    perhaps = Staged(_perhaps(labelled.join(apart, "key"), classes.read().withColumnRenamed("signature", "payload"), need), "perhaps")
+    cluster = components(perhaps.read().select(F.col("x").alias("u"), F.col("y").alias("v")))
+    inside = perhaps.read().select(F.col("x").alias("rep")).unionByName(perhaps.read().select(F.col("y").alias("rep"))).distinct()
+    inside = Staged(of(inside).join(cluster.read().select(F.col("u").alias("rep"), F.col("v").alias("key")), "rep", "left").withColumn("key", F.coalesce("key", "rep")), "inside")
+    sets = Staged(_full_sets(docs, inside.read().select("rep"), words), "sets")
+    sized = inside.read().join(sets.read().groupBy("rep").agg(F.max(F.octet_length("members") / 8).alias("size")), "rep")
+    more = Staged(_links(sized, sets.read().withColumnRenamed("members", "payload"), percent).select(F.col("x").alias("u"), F.col("y").alias("v")), "more")
+    for t in (bucket, classes, perhaps, cluster, inside, sets, label):
         t.drop()
+    label = components(links.read().unionByName(more.read()))
     comp = member.read().groupBy("doc_id").agg(F.min("rep").alias("rep"))
     comp = comp.join(label.read().select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
     out = signed.read().select("doc_id", "n_shingles").join(comp, "doc_id", "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
