@@ -293,8 +293,9 @@ class Tail(DataSourceStreamReader):
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``recording`` known to a session."""
+    """Make ``recording`` known to a session, and let filters reach Python sources, which Spark leaves off unless told."""
     spark.dataSource.register(Recordings)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read(spark: SparkSession, path: str, **options: Any) -> DataFrame:
