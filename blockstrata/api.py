@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockstrata import __version__
 from blockstrata.errors import InvalidData, StrataError, status_message
+from blockstrata.functions import text as _text
 from blockstrata.operators import crush as _crush
 from blockstrata.operators import histogram as _histogram
 from blockstrata.operators import recover as _recover
@@ -91,6 +92,12 @@ class File:
     def crush(self, channel: int, ideal: int) -> DataFrame:
         return _crush.crush(self.read(channel), ideal)
 
+    def export(self, channel: int, path: str, digits: int = 15) -> None:
+        """A channel as text, a line a row, in order: numbers with so many digits, binary as hexadecimal, tabs between."""
+        rows = self.read(channel)
+        cells = [(c, t == "binary") for c, t in rows.dtypes if c.startswith("dim")]
+        rows.repartitionByRange("block").sortWithinPartitions("block", "scan").select(_text.exported(cells, digits).alias("value")).write.text(path)
+
     def dump(self, most_rows: int = 20) -> str:
         """A listing for people: tests, channels, tags and the first rows."""
         lines = [f"file {self.path}"]

@@ -98,6 +98,6 @@ def interned(rows: DataFrame, column: str) -> DataFrame:
 
 
 def exported(dims: list[tuple[str, bool]], digits: int = 15) -> Column:
-    """Tab-separated text of a row: numbers with so many digits behind the point, binary as hexadecimal."""
-    parts = [F.lower(F.hex(c)) if binary else F.format_string(f"%.{digits}f", F.col(c)) for c, binary in dims]
-    return F.concat_ws("\t", *parts)
+    """Tab-separated text of a row: numbers with so many digits behind the point, binary as hexadecimal, null as nothing."""
+    parts = [F.lower(F.hex(c)) if binary else F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))) for c, binary in dims]
+    return F.concat_ws("\t", *(F.coalesce(p, F.lit("")) for p in parts))

@@ -60,6 +60,26 @@ class Histogram:
         found = self.bins.where(reduce(lambda a, b: a & b, (F.col(f"i{k}") == i for k, i in enumerate(indices)))).select("value").first()
         return found[0] if found else 0.0
 
+    def next_nonzero(self, start: int = 0) -> tuple[int, float] | None:
+        """(flat index, value) of the first bin from ``start`` on that is not 0."""
+        found = self.bins.where((F.col("value") != 0) & (F.col("flat") >= start)).agg(F.min(F.struct("flat", "value")).alias("x")).first().x
+        return tuple(found) if found else None
+
+    def with_bin(self, value: float, *indices: int) -> Histogram:
+        """With one bin set; indices beyond the axes change nothing."""
+        if len(indices) != len(self.sizes) or any(not 0 <= i < n for i, n in zip(indices, self.sizes, strict=True)):
+            return self
+        flat = reduce(lambda a, x: a * x[1] + x[0], zip(indices, self.sizes, strict=True), 0)
+        row = self.bins.sparkSession.range(1).select(*(F.lit(i).cast("long").alias(f"i{k}") for k, i in enumerate(indices)), F.lit(flat).cast("long").alias("flat"), F.lit(float(value)).alias("value"))
+        return Histogram(self.axes, self.bins.where(F.col("flat") != flat).unionByName(row), self.sizes)
+
+    def with_bin_at(self, value: float, *bounds: tuple[float, float]) -> Histogram:
+        """With the bin of exactly these bounds set."""
+        indices = [self.find(a, *pair) for a, pair in enumerate(bounds)]
+        if len(indices) != len(self.sizes) or None in indices:
+            raise InvalidData(f"no bin {bounds}")
+        return self.with_bin(value, *indices)
+
     def bounds(self, axis: int) -> DataFrame:
         return self.axes.where(F.col("axis") == axis).select("bin", "lower", "upper").orderBy("bin")
 

@@ -2,9 +2,11 @@
 
 Read options: ``path`` (a file, a folder or a pattern), ``table`` (blocks, samples, index,
 tests, channels, dims, tags or decoders), ``channel`` and ``dims`` for samples, ``mode``
-(catalog), ``verify`` (checksums), ``partition_bytes``. The driver reads headers and
-metadata; a partition is a run of blocks of about ``partition_bytes``, read where it runs,
-and only the groups that a filter or channel asks for. Writing takes (group, payload) rows,
+(catalog), ``verify`` (checksums), ``partition_bytes``, ``split``. The driver reads headers
+and metadata; a partition is a run of blocks of about ``partition_bytes``, read where it runs,
+and only the groups that a filter or channel asks for. With ``split`` set to true the driver
+looks at file sizes alone: a partition is a range of bytes, which finds its first block by
+itself and owns the blocks that begin in it; blocks then have offsets but no numbers. Writing takes (group, payload) rows,
 one file a task, each with its index, whole or not at all. Streaming follows the files of a
 folder as they grow, by whole blocks.
 """
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from blockstrata.errors import InvalidData
+from blockstrata.errors import InvalidBlock, InvalidData
 from blockstrata.sources.catalog import Catalog, Channel
 from blockstrata.sources.decoding import Decoder, decoded, sample_schema
-from blockstrata.sources.framing import OVERHEAD, BlockFile, resync
+from blockstrata.sources.framing import OVERHEAD, SYNC, Block, BlockFile, resync
 from blockstrata.sources.recording import Recording
 from blockstrata.sources.writer import Writer
 
@@ -62,6 +64,34 @@ class Run(InputPartition):
         self.file, self.blocks = file, blocks
 
 
+class Range(InputPartition):
+    """Blocks of a file whose headers begin in [low, high)."""
+
+    def __init__(self, file: str, low: int, high: int) -> None:
+        super().__init__((file, low, high))
+        self.file, self.low, self.high = file, low, high
+
+
+def blocks_in(file: BlockFile, low: int, high: int, step: int = 1 << 20) -> Iterator[Block]:
+    """Whole blocks that begin in a range of bytes. Where one ends another is tried; else the next sync word is looked for."""
+    at = low
+    while at < high:
+        try:
+            block = file.read_at(at)
+        except InvalidBlock:
+            found = -1
+            while found < 0 and at < high:
+                file.file.seek(at + 9)
+                data = file.file.read(min(step, high - at) + 3)
+                found = data.find(SYNC)
+                at = at + 1 + found if found >= 0 else at + max(1, len(data) - 3)
+            if found < 0:
+                return
+            continue
+        yield block
+        at += block.size
+
+
 class Recordings(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -127,6 +157,10 @@ class Reader(DataSourceReader):
             if self.table not in ("blocks", "samples"):
                 out.append(Run(file, []))
                 continue
+            if self.table == "blocks" and self.options.get("split", "false").lower() == "true":
+                size = os.path.getsize(file)
+                out += [Range(file, low, min(size, low + most)) for low in range(0, size, most)]
+                continue
             with Recording(file, mode=self.mode) as recording:
                 groups = {recording.catalog.binding(self.source._channel(recording))[0]} if self.table == "samples" else self.groups
                 count: dict[int, int] = {}
@@ -144,8 +178,13 @@ class Reader(DataSourceReader):
                     out.append(Run(file, run))
         return out
 
-    def read(self, partition: Run) -> Iterator[pa.RecordBatch] | Iterator[tuple]:
-        if self.table == "samples":
+    def read(self, partition: Run | Range) -> Iterator[pa.RecordBatch] | Iterator[tuple]:
+        if isinstance(partition, Range):
+            with open(partition.file, "rb") as f:
+                for b in blocks_in(BlockFile(f), partition.low, partition.high):
+                    if self.groups is None or b.group in self.groups:
+                        yield partition.file, None, b.offset, b.size, b.group, None, len(b.payload), b.payload, b.crc, b.crc_ok
+        elif self.table == "samples":
             yield from self._samples(partition)
         elif self.table == "blocks":
             verify = self.options.get("verify", "false").lower() == "true"
@@ -238,7 +277,7 @@ class FileWriter(DataSourceWriter):
             for old in files_of(self.path) if os.path.isdir(self.path) else []:
                 os.remove(old)
         for n, m in enumerate(x for x in messages if x and x.temporary):
-            os.replace(m.temporary, os.path.join(self.path, f"part-{n:05d}-{self.job}.sie"))
+            os.replace(m.temporary, os.path.join(self.path, f"part-{n:05d}-{self.job}.rec"))
 
     def abort(self, messages: list[Written]) -> None:
         for m in messages:

@@ -14,9 +14,9 @@ FIRST_IDS = {"group": 2, "decoder": 2, "test": 0, "ch": 0}
 SYNC_TEXT = "0x51EDA7A0"
 
 
-def header() -> str:
-    """The preamble that describes the format in its own terms."""
-    sie = Node("sie", {"version": "1.0", "xmlns": "http://www.somat.com/SIE"})
+def header(namespace: str | None = None) -> str:
+    """The preamble that describes the format in its own terms; readers that ask for a namespace get it here."""
+    sie = Node("sie", {"version": "1.0"} | ({"xmlns": namespace} if namespace else {}))
     sie.append(Node(kind="comment", text="!-- SIE format standard definitions: --"))
     read = lambda var, **a: Node("read", {"var": var, **a})
     word = {"bits": "32", "type": "uint", "endian": "big"}

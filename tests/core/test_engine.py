@@ -33,7 +33,7 @@ N, ROWS = 82, 320
 
 @pytest.fixture(scope="module")
 def path(tmp_path_factory):
-    name = str(tmp_path_factory.mktemp("rec") / "a.sie")
+    name = str(tmp_path_factory.mktemp("rec") / "a.rec")
     with open(name, "wb") as f, Writer(f.write) as w:
         w.xml_header()
         w.xml_string(XML)
@@ -101,6 +101,26 @@ def test_reader_reads_what_it_must(spark, path):
     assert api.open_file(spark, path).decode(1, blocks).count() == N * ROWS
 
 
+@pytest.mark.parametrize("size", [37, 1000, 50_000])
+def test_splits_own_what_begins_in_them(spark, path, tmp_path, size):
+    whole = datasource.read(spark, path).select("offset", "group", "payload")
+    split = datasource.read(spark, path, split="true", partition_bytes=max(size, 20_000)).select("offset", "group", "payload")
+    assert rows.equal(whole, split)
+    with open(path, "rb") as f:
+        data = f.read(30_000)
+    dirty = tmp_path / "dirty"
+    dirty.write_bytes(b"junk" + data + b"\x51\xed\xa7")
+    with open(dirty, "rb") as f:
+        file = datasource.BlockFile(f)
+        ranges = [b.offset for low in range(0, file.size, size) for b in datasource.blocks_in(file, low, min(file.size, low + size), 64)]
+        assert ranges == [b.offset for b in datasource.blocks_in(file, 0, file.size)] and len(ranges) > 10
+
+
+def test_export(spark, path, tmp_path):
+    api.open_file(spark, path).export(2, str(tmp_path / "t"), 3)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect())[2] == "20.000\t000102030405\t"
+
+
 def test_histogram(spark, path):
     h = api.open_file(spark, path).histogram(3)
     assert h.sizes == [2] and h.value(0) == 9.0 and h.value(1) == 7.0 and h.value(5) == 0.0 and h.total() == 2  # the later row of a bin counts
@@ -108,7 +128,10 @@ def test_histogram(spark, path):
     data = [(0, s, float(v), lo, lo + 1.0, hi, hi + 1.0) for s, (v, lo, hi) in enumerate([(10, 0.0, 5.0), (0, 1.0, 5.0), (4, 2.0, 7.0), (6, 2.0, 7.0)])]
     two = histogram(spark.createDataFrame(data, "block long, scan long, dim0 double, dim1 double, dim2 double, dim3 double, dim4 double"))
     assert two.sizes == [3, 2] and [r.value for r in two.dense().orderBy("flat").collect()] == [10, 0, 0, 0, 0, 6] and [r.flat for r in two.nonzero().collect()] == [0, 5]
-    assert two.unflat(5) == [2, 1]
+    assert two.unflat(5) == [2, 1] and two.next_nonzero() == (0, 10.0) and two.next_nonzero(1) == (5, 6.0) and two.next_nonzero(6) is None
+    assert two.with_bin(3.0, 1, 1).value(1, 1) == 3.0 and two.with_bin(3.0, 9, 9) is two and two.with_bin_at(8.0, (2.0, 3.0), (7.0, 8.0)).value(2, 1) == 8.0
+    with pytest.raises(InvalidData):
+        two.with_bin_at(1.0, (9.0, 9.0), (7.0, 8.0))
     with pytest.raises(InvalidData):
         histogram(spark.createDataFrame([(0, 0, 1.0, 2.0)], "block long, scan long, dim0 double, dim1 double"))
 
@@ -143,7 +166,7 @@ def test_crush_edges(spark):
 
 
 def test_sift(spark, path, tmp_path):
-    out = str(tmp_path / "b.sie")
+    out = str(tmp_path / "b.rec")
     size = api.sift(path, out, [(1, 42, 63), (2, 0, None), (1, 50, 70)])
     assert os.path.getsize(out) == size
     with Recording(path) as r, open(os.devnull, "wb") as f:
