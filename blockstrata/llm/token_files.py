@@ -32,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import small_batches, spread, text_chunks
+from blockstrata.llm._base import TABLES, small_batches, spread, text_chunks, tidied
 from blockstrata.llm._words import distinct, prefix_hashes, span_hashes
 
 BLOCK = 256
 _MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIQIQ")
 _ENCODERS: dict[str, ChunkEncoder] = {}
+TABLES.append(_ENCODERS.clear)
 _CONTROL_SPACE = np.zeros(256, bool)
 _CONTROL_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
 #: Runs of these behind letters are one piece by themselves.
@@ -47,19 +48,58 @@ _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
-class ChunkEncoder:
-    """ids of texts by way of a bounded table of distinct chunks, keyed by 64-bit hashes.
+class _Table:
+    """ids by 64-bit key, in sorted arrays: a large level and a small one for what is new, and the ids of all end to end."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of sorted keys begin, -1 for unknown ones, and how many each has."""
+        start, length = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for known, starts, lengths in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                start[hit], length[hit] = starts[at[hit]], lengths[at[hit]]
+        return start, length
+
+    def store(self, ids: np.ndarray) -> int:
+        """Put ids behind all others; returns where."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + len(ids), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def add(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Sorted keys that are new."""
+        self.levels[1] = self._merged(self.levels[1], (keys, starts, lengths.astype(np.int32)))
+        if len(self.levels[1][0]) > 50_000 + len(self.levels[0][0]) // 4:
+            self.levels = [self._merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
 
-    The table has two generations, so that frequent chunks stay when it is full.
-    """
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+    def __len__(self) -> int:
+        return sum(len(level[0]) for level in self.levels)
+
+
+class ChunkEncoder:
+    """ids of texts by way of a bounded table of distinct chunks, keyed by 64-bit hashes."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), _Table(most)
         self.special = {t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         # byte-level models write printable bytes as themselves and the others from U+0100 on, and take a run of
         # letters behind a space as one piece; proved on the library itself
@@ -156,30 +196,31 @@ class ChunkEncoder:
             key = span_hashes(prefix, starts, ends)
             key[opens] ^= _FIRST
             unique, index, inverse = distinct(key)
-            if len(self.known) > self.most:
-                self.known, self.old = {}, self.known
-            keys = unique.tolist()
-            table = list(map(self.known.get, keys))
-            new = [i for i, ids in enumerate(table) if ids is None]
-            again = list(map(self.old.get, map(keys.__getitem__, new)))
-            unseen = np.array([i for i, ids in zip(new, again, strict=True) if ids is None], np.int64)
-            found = iter(self._learn(raw, starts[index[unseen]], ends[index[unseen]], opens[index[unseen]]))
-            for i, ids in zip(new, again, strict=True):
-                self.known[keys[i]] = table[i] = next(found) if ids is None else ids
-            for i in np.flatnonzero(bad):
-                table.append(self._whole(raw[offs[i] : offs[i + 1]].tobytes().decode()))
+            known = self.known
+            if len(known) > known.most:
+                known.clear()
+            start, length = known.find(unique)
+            unseen = np.flatnonzero(start < 0)
+            if len(unseen):
+                learnt = self._learn(raw, starts[index[unseen]], ends[index[unseen]], opens[index[unseen]])
+                length[unseen] = np.fromiter(map(len, learnt), np.int64, len(learnt)) // 4
+                start[unseen] = known.store(np.frombuffer(b"".join(learnt), "<u4")) + np.cumsum(length[unseen]) - length[unseen]
+                known.add(unique[unseen], start[unseen], length[unseen])
+            before, whole = known.used, [np.frombuffer(self._whole(raw[offs[i] : offs[i + 1]].tobytes().decode()), "<u4") for i in np.flatnonzero(bad)]
             # the texts encoded whole stand as one chunk each
+            start = np.concatenate([start, [known.store(ids) for ids in whole]]).astype(np.int64)
+            length = np.concatenate([length, [len(ids) for ids in whole]]).astype(np.int64)
             starts = np.concatenate([starts, offs[:-1][bad]])
-            inverse = np.concatenate([inverse, len(unique) + np.arange(int(bad.sum()))])
+            inverse = np.concatenate([inverse, len(unique) + np.arange(len(whole))])
             order = np.argsort(starts, kind="stable")
             starts, inverse = starts[order], inverse[order]
-            length = np.fromiter(map(len, table), np.int64, len(table)) // 4
-            flat = np.frombuffer(b"".join(table), "<u4")
             count = length[inverse]
             total = np.zeros(len(count) + 1, np.int64)
             np.cumsum(count, out=total[1:])
-            at = np.repeat((np.cumsum(length) - length)[inverse] - total[:-1], count) + np.arange(total[-1])
-            yield a, e, flat[at], total[np.searchsorted(starts, offs)]
+            at = np.repeat(start[inverse] - total[:-1], count) + np.arange(total[-1])
+            ids = known.pool[at]
+            known.used = before
+            yield a, e, ids, total[np.searchsorted(starts, offs)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit bytes."""
@@ -300,7 +341,7 @@ def files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, most_ids: int
         if held:
             yield flush()
 
-    return dealt.mapInArrow(write, schema)
+    return dealt.mapInArrow(tidied(write, keep_tables=True), schema)
 
 
 def documents(written: DataFrame) -> DataFrame:
@@ -322,7 +363,7 @@ def documents(written: DataFrame) -> DataFrame:
                 at += len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return written.select("part", "before", "content").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return written.select("part", "before", "content").mapInArrow(tidied(read, keep_tables=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(written: DataFrame, folder: str) -> None:
@@ -338,4 +379,4 @@ def export(written: DataFrame, folder: str) -> None:
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
     os.makedirs(folder, exist_ok=True)
-    written.select("part", "seq", "content").mapInArrow(save, "name string").count()
+    written.select("part", "seq", "content").mapInArrow(tidied(save, keep_tables=True), "name string").count()
