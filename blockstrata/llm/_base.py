@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Staged:
     """A table written once to the shared folder, so that what follows reads it instead of computing it again."""
 
+    #: Those that are there, for who wants to drop what a call has left.
+    live: ClassVar[list[Staged]] = []
+
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/llm_stage/{name}-{uuid.uuid4().hex}"
+        self.name = f"{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/llm_stage/{self.name}"
         self.schema = df.schema
+        Staged.live.append(self)
         df.write.parquet(self.path)
 
     def read(self) -> DataFrame:
@@ -39,6 +45,8 @@ class Staged:
 
     def drop(self) -> None:
         """Delete the files; only once nothing will read the table again."""
+        if self in Staged.live:
+            Staged.live.remove(self)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

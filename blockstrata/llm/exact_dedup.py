@@ -8,12 +8,13 @@ alone are dropped, exactly: each block of texts sends its distinct anchors to a
 their hash and is told which other blocks have. The other segments go to shards by anchor,
 each distinct one once a block, with the least doc_id that has it. A shard orders the
 suffixes of its distinct segments by external induced sorting (induced.py); neighbours with
-a common prefix of ``length`` or more are one string, whose least doc_id follows. A block
+a common prefix of ``length`` or more are one string, whose least doc_id follows; a
+segment that has its anchor to itself needs no sorting, as no other can match it. A block
 gets back a bit for each window of what it sent: whether a smaller document than its own
 has it.
 
 An anchor or segment of a third of all documents costs a shard one entry a block of about
-a megabyte, not one a document. Blocks are kept compressed, read three times, and rows of
+two megabytes, not one a document. Blocks are kept compressed, read three times, and rows of
 one block never leave it.
 
 Defined results: null counts as empty; a null doc_id sorts behind all others; documents of
@@ -25,23 +26,27 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from blockstrata.llm._base import Staged, grouped, small_batches, spread, text_chunks
+from blockstrata.llm._base import Staged, grouped, small_batches, spread, text_chunks, tidied
 from blockstrata.llm._words import U64, prefix_hashes, span_hashes
 from blockstrata.llm.induced import suffixes
 
 GRAM = 16
 #: Text bytes for which a shard is made, at least.
 SHARD = 8 << 20
-_STRIP = 1 << 22
+#: Bytes in a block, and in what is worked on at once.
+BLOCK, _STRIP = 2 << 20, 1 << 20
 _LOW = U64((1 << 40) - 1)
+#: The bits of a gram's hash that its place takes when the least is looked for.
+_PLACE = U64(2 * _STRIP - 1)
 _LAST = np.iinfo(np.int64).max
 
 
@@ -53,28 +58,40 @@ def _grown(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if len(data) > 8 else b""
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """block, ids (8 bytes each, and a byte each for null), offs, raw: about a megabyte of texts each."""
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return _shrunk(sink.getvalue().to_pybytes())
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(_grown(data)).read_next_batch()
+
+
+def blocks(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """block, ids (8 bytes each, and a byte each for a null id and for a null text), offs, raw, rest (other columns): about two megabytes of texts each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for a, e, raw, offs in text_chunks(batch.column(1)):
-                own = batch.column(0).slice(a, e - a)
+            for a, e, raw, offs in text_chunks(batch.column(1), BLOCK):
+                own, text = batch.column(0).slice(a, e - a), batch.column(1).slice(a, e - a)
                 ids = own.fill_null(_LAST).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                null = np.asarray(own.is_null()).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids + null], pa.binary()), pa.array([offs.astype("<i8").tobytes()], pa.binary()), pa.array([_shrunk(raw.tobytes())], pa.binary())], ["block", "ids", "offs", "raw"])
+                null = b"".join(np.asarray(c.is_null()).astype(np.uint8).tobytes() for c in (own, text))
+                rest = _packed(batch.select(range(2, batch.num_columns)).slice(a, e - a)) if keep else b""
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([x], pa.binary()) for x in (ids + null, offs.astype("<i8").tobytes(), _shrunk(raw.tobytes()), rest))], ["block", "ids", "offs", "raw", "rest"])
                 block += 1
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, ids binary, offs binary, raw binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(tidied(run), "block long, ids binary, offs binary, raw binary, rest binary")
 
 
 class Block:
     """A block's texts, and the segments of its windows: ``start``, ``windows`` (how many), ``anchor`` (hash), ``doc`` (its doc_id)."""
 
     def __init__(self, ids: bytes, offs: bytes, raw: bytes, length: int) -> None:
-        n = len(ids) // 9
-        self.ids, self.null = np.frombuffer(ids, "<i8", n), np.frombuffer(ids, np.uint8, n, 8 * n)
+        n = len(ids) // 10
+        self.ids, self.null, self.textless = np.frombuffer(ids, "<i8", n), np.frombuffer(ids, np.uint8, n, 8 * n), np.frombuffer(ids, np.uint8, n, 9 * n)
         self.offs, self.raw = np.frombuffer(offs, "<i8"), np.frombuffer(_grown(raw), np.uint8)
         self.length = length
         parts = [self._segments(at, min(len(self.raw), at + _STRIP + length - 1)) for at in range(0, len(self.raw), _STRIP)]
@@ -89,7 +106,7 @@ class Block:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.arange(count)
         hashes = span_hashes(prefix_hashes(raw), at, at + GRAM)
-        least, span = (hashes & ~U64(_STRIP * 2 - 1)) | at.astype(np.uint64), 1
+        least, span = (hashes & ~_PLACE) | at.astype(np.uint64), 1
         while span * 2 <= wide:
             least, span = np.minimum(least[: len(least) - span], least[span:]), span * 2
         if span < wide:
@@ -100,7 +117,7 @@ class Block:
         ended = np.cumsum(cut)
         window = np.arange(min(len(least), _STRIP))
         window = window[ended[window] == ended[window + length - 1]]
-        place = (least[window] & U64(_STRIP * 2 - 1)).astype(np.int64)
+        place = (least[window] & _PLACE).astype(np.int64)
         new = np.ones(len(window), bool)
         new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
         first = np.flatnonzero(new)
@@ -142,8 +159,12 @@ class Block:
         return own[order[new]], shard[order[new]], least, entry
 
     def gather(self, segments: np.ndarray) -> bytes:
-        size = self.windows[segments] + self.length - 1
-        return self.raw[np.repeat(self.start[segments] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+        """Their bytes end to end."""
+        parts = []
+        for at in range(0, len(segments), 4096):
+            start, size = self.start[segments[at : at + 4096]], self.windows[segments[at : at + 4096]] + self.length - 1
+            parts.append(self.raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes())
+        return b"".join(parts)
 
 
 def _by_shard(shard: np.ndarray, shards: int) -> list[tuple[int, slice]]:
@@ -162,7 +183,7 @@ def _anchors(table: DataFrame, length: int, shards: int) -> DataFrame:
             parts = _by_shard((unique >> U64(40)).astype(np.int64), shards)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([low[at].tobytes() for _, at in parts], pa.binary())], ["shard", "block", "anchors"])
 
-    return table.mapInArrow(run, "shard int, block long, anchors binary")
+    return table.mapInArrow(tidied(run), "shard int, block long, anchors binary")
 
 
 def _elsewhere(anchors: DataFrame, shards: int) -> DataFrame:
@@ -179,7 +200,7 @@ def _elsewhere(anchors: DataFrame, shards: int) -> DataFrame:
                 more = np.split(count[inverse] > 1, np.cumsum(size)[:-1])
                 yield pa.RecordBatch.from_arrays([rows.column(1).slice(s, e - s), rows.column(0).slice(s, e - s), pa.array([np.packbits(x).tobytes() for x in more], pa.binary())], ["block", "shard", "bits"])
 
-    return anchors.repartition(spread(anchors.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(run, "block long, shard int, bits binary")
+    return anchors.repartition(spread(anchors.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(tidied(run), "block long, shard int, bits binary")
 
 
 def _collected(rows: DataFrame, name: str) -> DataFrame:
@@ -198,7 +219,7 @@ def _sent(table: DataFrame, length: int, shards: int) -> DataFrame:
             parts = _by_shard(shard, shards)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([least[at].astype("<i8").tobytes() for _, at in parts], pa.binary()), pa.array([size[at].tobytes() for _, at in parts], pa.binary()), pa.array([_shrunk(block.gather(one[at])) for _, at in parts], pa.binary())], ["shard", "block", "least", "size", "chars"])
 
-    return table.mapInArrow(run, "shard int, block long, least binary, size binary, chars binary")
+    return table.mapInArrow(tidied(run), "shard int, block long, least binary, size binary, chars binary")
 
 
 def earlier_windows(least: np.ndarray, size: np.ndarray, chars: np.ndarray, length: int) -> np.ndarray:
@@ -208,26 +229,34 @@ def earlier_windows(least: np.ndarray, size: np.ndarray, chars: np.ndarray, leng
     _, first, entry = np.unique(key ^ size.astype(np.uint64), return_index=True, return_inverse=True)
     docs = np.full(len(first), _LAST)
     np.minimum.at(docs, entry, least)
-    n = size[first]
-    total = int(n.sum())
-    place = np.cumsum(n + 1) - n - 1  # of each distinct segment in what is sorted
-    text = np.zeros(total + len(n), np.uint16)
-    text[np.arange(total) + np.repeat(np.arange(len(n)), n)] = chars[np.arange(total) + np.repeat((end - size)[first] - (np.cumsum(n) - n), n)].astype(np.uint16) + 1
-    order, common = suffixes(text)
-    owner = np.repeat(np.arange(len(n)), n + 1)
-    left = (place + n)[owner] - np.arange(len(text))
-    full = left[order] >= length  # equal windows are neighbours, for what is between them has their bytes too
-    order = order[full]
-    fresh = np.append(True, common[full][1:] < length) if len(order) else np.zeros(0, bool)
-    group = np.flatnonzero(fresh)
-    smallest = np.minimum.reduceat(docs[owner[order]], group) if len(group) else np.zeros(0, np.int64)
-    found = np.full(len(text), _LAST)
-    found[order] = np.repeat(smallest, np.diff(np.append(group, len(order))))
-    out = np.zeros(len(size), np.uint64)
     windows = size - length + 1
+    found = np.repeat(docs, windows[first])  # of each window of each distinct segment
+    base = np.cumsum(windows[first]) - windows[first]
+    # windows of different segments can only be equal where the segments have one anchor
+    start = (end - size)[first]
+    inside = start[:, None] + np.arange(length - GRAM + 1)
+    grams = span_hashes(prefix_hashes(chars), inside, inside + GRAM)
+    anchor = grams[np.arange(len(first)), (grams & ~_PLACE).argmin(1)]
+    _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(count[which] > 1)
+    if len(own):
+        n = size[first[own]]
+        total = int(n.sum())
+        place = np.cumsum(n + 1) - n - 1  # of each segment in what is sorted
+        text = np.zeros(total + len(n), np.uint16)
+        text[np.arange(total) + np.repeat(np.arange(len(n)), n)] = chars[np.arange(total) + np.repeat(start[own] - (np.cumsum(n) - n), n)].astype(np.uint16) + 1
+        order, common = suffixes(text)
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
+        left = (place + n)[owner] - np.arange(len(text))
+        full = left[order] >= length  # equal windows are neighbours, for what is between them has their bytes too
+        order = order[full]
+        group = np.flatnonzero(np.append(True, common[full][1:] < length))
+        smallest = np.minimum.reduceat(docs[own][owner[order]], group)
+        found[base[own][owner[order]] + order - place[owner[order]]] = np.repeat(smallest, np.diff(np.append(group, len(order))))
+    out = np.zeros(len(size), np.uint64)
     for o in range(int(windows.max()) if len(windows) else 0):
         has = windows > o
-        out[has] |= (found[place[entry[has]] + o] < least[has]).astype(np.uint64) << U64(o)
+        out[has] |= (found[base[entry[has]] + o] < least[has]).astype(np.uint64) << U64(o)
     return out
 
 
@@ -244,7 +273,7 @@ def _earlier(sent: DataFrame, length: int, shards: int) -> DataFrame:
                 count = np.cumsum([len(x) // 2 for x in part.column(3).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array([_shrunk(x.tobytes()) for x in np.split(bits, count[:-1])], pa.binary())], ["block", "shard", "earlier"])
 
-    return sent.repartition(spread(sent.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(run, "block long, shard int, earlier binary")
+    return sent.repartition(spread(sent.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(tidied(run), "block long, shard int, earlier binary")
 
 
 def _removed(block: Block, shards: int, bits: dict[int, bytes], earlier: dict[int, bytes]) -> np.ndarray:
@@ -264,28 +293,28 @@ def _removed(block: Block, shards: int, bits: dict[int, bytes], earlier: dict[in
     return np.cumsum(change)[:-1] > 0
 
 
-def cut(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of ``docs`` (doc_id, text); if asked for, text_sha256 of the whole text and ``kept_text``, what stays without characters that were cut in part."""
+def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of ``docs`` (doc_id, text), before them its ``keep`` columns; ``kept_text``, what stays without characters that were cut in part (null for null), if asked for."""
     spark = docs.sparkSession
     if not GRAM < length <= GRAM + 39:  # a segment's windows fit 40 bits
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 39}")
-    table = Staged(blocks(docs), "blocks")
+    table = Staged(blocks(docs, keep), "blocks")
     size = table.read().agg(F.sum(F.octet_length("offs")), F.sum(F.octet_length("raw"))).first()
     shards = spread(spark, -(-3 * (size[1] or 0) // SHARD))
-    bits = Staged(_elsewhere(_anchors(table.read(), length, shards), shards), "bits")
+    bits = Staged(_elsewhere(_anchors(table.read().drop("rest"), length, shards), shards), "bits")
     _release(spark)
-    flagged = table.read().join(_collected(bits.read(), "bits"), "block", "left")
+    flagged = table.read().drop("rest").join(_collected(bits.read(), "bits"), "block", "left")
     earlier = Staged(_earlier(_sent(flagged.select("block", "ids", "offs", "raw", "bits"), length, shards), length, shards), "earlier")
     _release(spark)
     told = _collected(bits.read(), "bits").join(_collected(earlier.read(), "earlier"), "block", "full")
-    both = table.read().join(told, "block", "left").select("block", "ids", "offs", "raw", "bits", "earlier")
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text_sha256", "kept_text"] * with_text]
+    both = table.read().join(told, "block", "left").select("block", "ids", "offs", "raw", "bits", "earlier", "rest")
+    added = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = T.StructType([*docs.select(*keep).schema, *T.StructType.fromDDL(added)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
-            _, *rest, bits, earlier = (batch.column(k)[0].as_py() for k in range(6))
-            block = Block(*rest, length)
+            _, *own, bits, earlier, rest = (batch.column(k)[0].as_py() for k in range(7))
+            block = Block(*own, length)
             gone = _removed(block, shards, dict(bits or ()), dict(earlier or ()))
             total = np.concatenate([[0], np.cumsum(gone)])
             opens = gone.copy()
@@ -296,10 +325,10 @@ def cut(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame
             kept = [block.raw[a:b].tobytes() if total[a] == total[b] else block.raw[a:b][~gone[a:b]].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)]
             columns = [pa.array(block.ids, mask=block.null.astype(bool)), pa.array(np.diff(o)), pa.array(total[o[1:]] - total[o[:-1]]), pa.array(spans[o[1:]] - spans[o[:-1]]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
             if with_text:
-                columns += [pa.array([hashlib.sha256(block.raw[a:b]).hexdigest() for a, b in zip(o[:-1], o[1:], strict=True)]), pa.array([k.decode("utf-8", "ignore") for k in kept])]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                columns.append(pa.array([None if n else k.decode("utf-8", "ignore") for k, n in zip(kept, block.textless, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(_unpacked(rest).columns if rest else []), *columns], schema.names)
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_sha256 string, kept_text string" * with_text)
+    return both.mapInArrow(tidied(run), schema)
 
 
 def _release(spark: object) -> None:

@@ -47,15 +47,21 @@ class Queue:
             self.spools[symbol].append((at, lcp))
 
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if not self.spools[symbol]:
-            return None
-        a, b = self.spools[symbol].popleft()
-        if isinstance(a, np.ndarray):
-            self.held -= a.nbytes + b.nbytes
-            return a, b
-        self.file.seek(a)
-        data = self.file.read(9 * b)
-        return np.frombuffer(data[: 8 * b], np.int64), np.frombuffer(data[8 * b :], np.uint8)
+        """All batches of a symbol, joined, as long as they fit the memory; None when there are none."""
+        spool, got, size = self.spools[symbol], [], 0
+        while spool and (not got or size < self.memory):
+            a, b = spool.popleft()
+            if isinstance(a, np.ndarray):
+                self.held -= a.nbytes + b.nbytes
+            else:
+                self.file.seek(a)
+                data = self.file.read(5 * b)
+                a, b = np.frombuffer(data[: 4 * b], np.int32), np.frombuffer(data[4 * b :], np.uint8)
+            got.append((a, b))
+            size += a.nbytes + b.nbytes
+        if len(got) < 2:
+            return got[0] if got else None
+        return np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got])
 
 
 class _Scan:
@@ -72,11 +78,18 @@ class _Scan:
         ok = self.wanted[before]
         source, before = source[ok], before[ok]
         symbol = self.text[before]
+        if not len(symbol):
+            if self.carry and len(lcp):
+                self.since = np.minimum(self.since, lcp.min())
+            return
         order = np.argsort(symbol, kind="stable")
-        symbols, first = np.unique(symbol[order], return_index=True)
+        sorted_ = symbol[order]
+        first = np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1
+        bounds = [0, *first.tolist(), len(order)]
         least = int(lcp.min()) if self.carry and len(lcp) else 0
         fresh = np.minimum(self.since, least) if self.carry else self.since
-        for s, own in zip(symbols.tolist(), np.split(order, first[1:]) if len(order) else [], strict=True):
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            s, own = int(sorted_[a]), order[a:b]
             values = np.zeros(len(own), np.uint8)
             if self.carry:
                 k = source[own]
@@ -106,7 +119,7 @@ def _induce(text: np.ndarray, small: np.ndarray, starts: np.ndarray, lcp: np.nda
         while (batch := queue.pop(s)) is not None:
             got.append(batch)
             scan.feed(*batch)
-        own = tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        own = tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int32), np.zeros(0, np.uint8))
         large.append(own)
         a, b = bounds[s], bounds[s + 1]
         if b > a:
@@ -121,7 +134,7 @@ def _induce(text: np.ndarray, small: np.ndarray, starts: np.ndarray, lcp: np.nda
         while (batch := queue.pop(s)) is not None:
             got.append(batch)
             scan.feed(*batch)
-        own = tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        own = tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int32), np.zeros(0, np.uint8))
         low[s] = own
         at, common = large[s]
         if len(at):
@@ -169,21 +182,23 @@ def suffixes(segments: np.ndarray, memory: int = 256 << 20) -> tuple[np.ndarray,
     suffix ends at its segment's 0, and equal ones may stand in any order.
     """
     text, n = segments.astype(np.uint16), len(segments)
+    if n >= 1 << 31:
+        raise ValueError("more than 2**31 symbols; sort them in shards")
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint8)
     change = np.flatnonzero(text[1:] != text[:-1])
     end = np.append(change, n - 1)  # last position of each run of one symbol
-    of = np.searchsorted(end, np.arange(n))
-    run = end[of] - np.arange(n) + 1
+    length = np.diff(end, prepend=-1)
+    run = np.minimum(np.repeat(end, length) - np.arange(n) + 1, LONGEST).astype(np.uint8)
     rising = np.append(text[change] < text[change + 1], True)  # a run before a larger symbol is of the smaller type
-    small = rising[of]
+    small = np.repeat(rising, length)
     small[text == 0] = True
     run[text == 0] = 0
     first = small.copy()
     first[0] = False
     first[1:] &= ~small[:-1]
     first[text == 0] = True
-    places = np.flatnonzero(first)
+    places = np.flatnonzero(first).astype(np.int32)
     # sort the substrings between such positions: by first symbol, then by induction
     start = places[np.argsort(text[places], kind="stable")]
     none = np.zeros(len(start), np.uint8)
@@ -193,7 +208,9 @@ def suffixes(segments: np.ndarray, memory: int = 256 << 20) -> tuple[np.ndarray,
     order = np.concatenate([order, np.setdiff1d(places, order)]) if len(order) < len(places) else order
     # equal substrings get one name
     follow = np.append(places[1:], n - 1)
-    nth = np.searchsorted(places, order)
+    number = np.zeros(n, np.int32)
+    number[places] = np.arange(len(places))
+    nth = number[order]
     until = np.minimum(follow[nth] + 1, n)
     prefix = prefix_hashes(text, SYMBOL_CODES)
     key = span_hashes(prefix, order, np.where(text[order] == 0, order, until))
@@ -207,7 +224,7 @@ def suffixes(segments: np.ndarray, memory: int = 256 << 20) -> tuple[np.ndarray,
         start = order
     large, low = _induce(text, small, start, _direct(text, start), run, memory, True)
     out, common = [], []
-    zeros = np.flatnonzero(text == 0)
+    zeros = np.flatnonzero(text == 0).astype(np.int32)
     out.append(zeros)
     common.append(np.zeros(len(zeros), np.uint8))
     for s in range(1, SYMBOLS):
