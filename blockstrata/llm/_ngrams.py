@@ -1,7 +1,7 @@
 """Logistic regression over hashed word and character n-grams, calibrated on rows held out.
 
-Features of a text: its words, its pairs of words and its runs of three characters,
-each family hashed to 65,536 places and divided by the family's size in the text, so
+Features of a text: its words, its pairs of words (a word said twice is the same pair
+whatever the word) and its runs of three characters, each family hashed to 65,536 places and divided by the family's size in the text, so
 a score is a mean of weights and whole batches are scored by lookups and sums.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import text_chunks
+from blockstrata.llm._base import text_chunks, tidied
 from blockstrata.llm._words import U64, Texts, runs
 
 PLACES = 1 << 16
@@ -27,6 +27,7 @@ def _family_places(t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     words = t.words()
     yield (words >> U64(48)).astype(np.int64), t.first[:-1], t.first[1:]
     pairs = (runs(words, 2) >> U64(48)).astype(np.int64)
+    pairs[words[1:] == words[:-1]] = 0  # a word said twice is one feature, whatever the word
     yield pairs, np.minimum(t.first[:-1], len(pairs)), np.minimum(np.maximum(t.first[1:] - 1, t.first[:-1]), len(pairs))
     at = np.append(np.flatnonzero((t.raw & 0xC0) != 0x80), len(t.raw))
     n = max(0, len(at) - 3)
@@ -102,7 +103,13 @@ def _calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 3000) -> Model | None:
+def _rows(got: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of every feature of some rows."""
+    row = np.repeat(np.arange(len(got)), [len(r.places) // 4 for r in got])
+    return row, np.frombuffer(b"".join(r.places for r in got), "<u4").astype(np.int64), np.frombuffer(b"".join(r["values"] for r in got), "<f4")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 2000) -> Model | None:
     """A model of ``labels`` (doc_id and a 0/1 column) over the texts of ``docs`` (doc_id, text).
 
     At most ``most_rows`` labelled rows are drawn, by a hash of doc_id; a fourth of
@@ -118,18 +125,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
                 found = list(features(Texts(raw, offs)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), batch.column(2).slice(a, e - a), pa.array([p.tobytes() for p, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "good", "places", "values"])
 
-    got = rows.select("doc_id", "text", "_good").mapInArrow(extract, "doc_id long, good int, places binary, values binary").collect()
+    got = rows.select("doc_id", "text", "_good").mapInArrow(tidied(extract), "doc_id long, good int, places binary, values binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.places, r.values))[: 2 * most_rows]
     y = np.array([r.good for r in got], float)
     held = np.arange(len(y)) % 4 == 3
     if not len(y) or min(y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return None
-    length = [len(r.places) // 4 for r in got]
-    row = np.repeat(np.arange(len(got), dtype=np.int32), length)
-    place = np.frombuffer(b"".join(r.places for r in got), "<u4").astype(np.int32)
-    value = np.frombuffer(b"".join(r["values"] for r in got), "<f4")
-    use = ~held[row]
-    w, b = _descend((np.cumsum(~held) - 1)[row[use]], place[use], value[use], y[~held])
-    score = np.bincount(row, value * w[place], len(got)) + b
+    parts = [_rows([r for r, h in zip(got, held, strict=True) if h == side]) for side in (False, True)]
+    got.clear()
+    w, b = _descend(*parts[0], y[~held])
+    score = np.zeros(len(y))
+    for side, (row, place, value) in zip((False, True), parts, strict=True):
+        score[held == side] = np.bincount(row, value * w[place], int((held == side).sum())) + b
     slope, shift = _calibrate(score[held], y[held]) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
     return Model(w.astype(np.float32), b, slope, shift, float((y.sum() + 1) / (len(y) + 2)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from blockstrata.llm._base import clashing, text_chunks
+from blockstrata.llm._base import clashing, text_chunks, tidied
 from blockstrata.llm._ngrams import Model, sigmoid
 from blockstrata.llm._words import U64, Texts, mix, runs
 
@@ -88,4 +88,4 @@ def judge(docs: DataFrame, model: Model | None, keep: list[str] | None = None, t
                 found["kept"] = ~found["base_failed"] & (found["probability"] >= threshold)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, e - a) for i in range(len(own))), *(pa.array(found[n]) for n in names)], [*own, *names])
 
-    return rows.mapInArrow(run, T.StructType([*passed.schema, *(T.StructField(n, k) for n, k in ADDED)]))
+    return rows.mapInArrow(tidied(run), T.StructType([*passed.schema, *(T.StructField(n, k) for n, k in ADDED)]))

@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockstrata.llm._base import Staged, clashing, text_chunks
+from blockstrata.llm._base import Staged, clashing, text_chunks, tidied
 from blockstrata.llm._ngrams import Model, sigmoid
 from blockstrata.llm._words import Texts
 
 ADDED = ("evidence", "host_posterior", "path_posterior", "posterior", "kept")
 #: Evidence counts up to this many nats either way.
 MOST_EVIDENCE = 12.0
+#: A text of so many words counts half of what a long one would; a wordless one tells nothing.
+FEW_WORDS = 8.0
 #: Sites whose posteriors are handed to every task; beyond, they are joined by shuffle.
 MOST_BROADCAST = 100_000
 
@@ -45,10 +47,12 @@ def evidence(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             for a, e, raw, offs in text_chunks(batch.column(len(own))):
                 ratio = np.zeros(e - a)
                 if model is not None:
-                    ratio = np.where(np.diff(offs) > 0, np.clip(model.logits(Texts(raw, offs)) - base, -MOST_EVIDENCE, MOST_EVIDENCE), 0.0)
+                    t = Texts(raw, offs)
+                    words = np.diff(t.first)
+                    ratio = np.clip(model.logits(t) - base, -MOST_EVIDENCE, MOST_EVIDENCE) * (words / (words + FEW_WORDS))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, e - a) for i in range(len(own))), pa.array(ratio), pa.array(sigmoid(ratio + base))], [*own, "_ratio", "_p"])
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_ratio", T.DoubleType()), T.StructField("_p", T.DoubleType())]))
+    return rows.mapInArrow(tidied(run), T.StructType([*docs.schema, T.StructField("_ratio", T.DoubleType()), T.StructField("_p", T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, toward: Column | str) -> float:
