@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import Staged, grouped, small_batches
+from blockstrata.llm._base import Staged, grouped, small_batches, tidied
 
 SUB, CENTRES = 2, 16
 #: Vectors on which centres are fitted, drawn by a hash of the id.
@@ -132,7 +132,7 @@ def build(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", sampl
                 both = codes[:, 0::2] * 16 + codes[:, 1::2]
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(s, 1), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([both.tobytes()], pa.binary()), pa.array([x.astype(kind).tobytes()], pa.binary())], ["block", "ids", "codes", "vectors"])
 
-    return Index(Staged(dealt.mapInArrow(pack, "block int, ids binary, codes binary, vectors binary"), "ann"), count, dims, kind, book)
+    return Index(Staged(dealt.mapInArrow(tidied(pack), "block int, ids binary, codes binary, vectors binary"), "ann"), count, dims, kind, book)
 
 
 def _best(scores: np.ndarray, most: int) -> np.ndarray:
@@ -180,9 +180,9 @@ def search(index: Index, every: int = 20, most: int = 20, rerank: int = 160, at_
     if not index.count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = index.blocks.read()
-    asked = blocks.select("block", "ids", "vectors").mapInArrow(questions, "asks int, query_ids binary, queries binary")
+    asked = blocks.select("block", "ids", "vectors").mapInArrow(tidied(questions), "asks int, query_ids binary, queries binary")
     pairs = spark.range(index.count**2).select((F.col("id") % index.count).cast("int").alias("block"), F.floor(F.col("id") / index.count).cast("int").alias("asks"))
     met = pairs.join(asked, "asks").join(blocks, "block").select("query_ids", "queries", "ids", "codes", "vectors", "block", "asks")
-    found = met.repartition(min(index.count**2, 4096), "block", "asks").drop("block", "asks").mapInArrow(scan, schema)
+    found = met.repartition(min(index.count**2, 4096), "block", "asks").drop("block", "asks").mapInArrow(tidied(scan), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")

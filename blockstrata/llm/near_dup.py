@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import Staged, grouped, small_batches, spread, text_chunks
+from blockstrata.llm._base import Staged, grouped, small_batches, spread, text_chunks, tidied
 from blockstrata.llm._words import U64, Texts, mix, runs
 from blockstrata.llm.components import components
 
@@ -107,7 +107,7 @@ def _signed(docs: DataFrame, words: int, hashes: int) -> DataFrame:
                     sums.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), pa.array(np.diff(at).astype(np.int64)), *sums, _rows(minima(values, at, hashes))], ["doc_id", "n_shingles", "h1", "h2", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -126,7 +126,7 @@ def _banded(classes: DataFrame, bands: int) -> DataFrame:
                 key = mix(key * U64(0x9E3779B97F4A7C15) + sig[:, :, k])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)), pa.array(key.view(np.int64).ravel())], ["rep", "key"])
 
-    return classes.select("rep", "signature").mapInArrow(run, "rep long, key long")
+    return classes.select("rep", "signature").mapInArrow(tidied(run), "rep long, key long")
 
 
 def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             same = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int32))], ["x", "y", "same"])
 
-    return both.mapInArrow(run, "x long, y long, same int")
+    return both.mapInArrow(tidied(run), "x long, y long, same int")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 values, at = shingle_sets(Texts(raw, offs, lower=True), words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), pa.array([np.sort(values[at[i] : at[i + 1]]).tobytes() for i in range(e - a)], pa.binary())], ["rep", "members"])
 
-    return rows.mapInArrow(run, "rep long, members binary")
+    return rows.mapInArrow(tidied(run), "rep long, members binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
-    return both.mapInArrow(run, "x long, y long, linked boolean")
+    return both.mapInArrow(tidied(run), "x long, y long, linked boolean")
 
 
 def _blocked(members: DataFrame, payload: DataFrame, size: Column) -> DataFrame:
@@ -223,7 +223,7 @@ def _perhaps(members: DataFrame, signatures: DataFrame, need: int) -> DataFrame:
                 out += forest.edges
             yield _edges(out)
 
-    return _blocked(members, signatures, F.count("*") / BLOCK).mapInArrow(run, "x long, y long")
+    return _blocked(members, signatures, F.count("*") / BLOCK).mapInArrow(tidied(run), "x long, y long")
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +254,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     forest.link(i, far[100 * common >= percent * (own + size[i] - common)])
                 yield _edges(forest.edges)
 
-    return _blocked(members, sets, F.greatest(F.count("*") / BLOCK, F.sum("size") / WEIGHT)).mapInArrow(run, "x long, y long")
+    return _blocked(members, sets, F.greatest(F.count("*") / BLOCK, F.sum("size") / WEIGHT)).mapInArrow(tidied(run), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockstrata.llm._base import clashing, spread
+from blockstrata.llm._base import clashing, spread, tidied
 from blockstrata.llm.token_files import ChunkEncoder
 
 LENGTHS = (1024, 2048, 4096, 8192)
@@ -97,7 +97,7 @@ def pack_sequences(df: DataFrame, size: str, lengths: Sequence[int] = LENGTHS, o
             part = part.append_column(name, pa.array(values))
         yield from part.combine_chunks().to_batches()
 
-    return pieces.select(*own, "piece", "start", "n_tokens").repartition(tasks).mapInArrow(run, schema)
+    return pieces.select(*own, "piece", "start", "n_tokens").repartition(tasks).mapInArrow(tidied(run, keep_tables=True), schema)
 
 
 def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",), end: int = 1) -> DataFrame:
@@ -112,4 +112,4 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep:
             for a, e, _, at in encoder.chunks(batch.column(len(own))):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, e - a) for i in range(len(own))), pa.array(np.diff(at) + end)], [*own, "n_ids"])
 
-    return rows.mapInArrow(run, T.StructType([*kept.schema, T.StructField("n_ids", T.LongType())]))
+    return rows.mapInArrow(tidied(run, keep_tables=True), T.StructType([*kept.schema, T.StructField("n_ids", T.LongType())]))

@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from blockstrata.llm._base import clashing, small_batches, strings
+from blockstrata.llm._base import TABLES, clashing, small_batches, strings, tidied
 
 _MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 _TABLES: dict[str, ChunkTable] = {}
+TABLES.append(_TABLES.clear)
 
 
 class ChunkTable:
@@ -92,7 +93,7 @@ def encode(df: DataFrame, model: str, text: str = "text", rows: int = 256) -> Da
             coded = [np.array(ids.split(b","), np.int32) if ids else np.zeros(0, np.int32) for ids, _ in table.encode(strings(batch.column(text)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return kept.mapInArrow(tidied(run, keep_tables=True), T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", rows: int = 256) -> DataFrame:
@@ -105,7 +106,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", rows: int = 256) -> Data
             texts = table.model.decode([x or [] for x in batch.column(ids).to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("decoded", T.StringType())]))
+    return kept.mapInArrow(tidied(run, keep_tables=True), T.StructType([*kept.schema, T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame, model: str, rows: int = 256) -> DataFrame:
@@ -118,4 +119,4 @@ def digests(docs: DataFrame, model: str, rows: int = 256) -> DataFrame:
             count = [ids.count(b",") + 1 if ids else 0 for ids, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, _ in found]), pa.array([hashlib.sha256(y.encode()).hexdigest() for _, y in found])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run, keep_tables=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

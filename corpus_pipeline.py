@@ -22,18 +22,40 @@ from blockstrata.llm import exact_dedup, near_dup, packing, quality_rules, queri
 from blockstrata.llm._base import Staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_LEFT: list[Staged] = []
 
 
+def _tidy(stage: Stage) -> Stage:
+    """A stage that first drops the working tables of the stage before, unless its documents are still read from them."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _LEFT else []
+        for t in [t for t in _LEFT if not any(t.name in f for f in files)]:
+            t.drop()
+            _LEFT.remove(t)
+        before = list(Staged.live)
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(t for t in Staged.live if t not in before)
+        return out
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@_tidy
 def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the base rules or the classifier reject go."""
     return quality_rules.judge(docs, queries.quality_model(spark, sf_dir)).where("kept").select(*COLUMNS)
 
 
+@_tidy
 def keep_good_sites(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents whose posterior, given their site, is against them go."""
     return site_quality.judge(docs, queries.quality_model(spark, sf_dir)).where("kept").select(*COLUMNS)
 
 
+@_tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates (five words, 0.8): of each group the document with the smallest doc_id stays."""
     gone = Staged(near_dup.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct(), "gone").read()
@@ -42,21 +64,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+@_tidy
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: bytes that a document with a smaller doc_id has in a string of 50 go."""
-    cut = exact_dedup.cut(docs, 50, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("id"), "text_sha256", "kept_text").dropDuplicates(["id", "text_sha256"])
-    both = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]) & (F.sha2(docs["text"], 256) == cut["text_sha256"]), "left")
-    n_chars = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
-    return both.select("doc_id", F.coalesce("kept_text", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    cut = exact_dedup.cut(docs, 50, ("lang", "source", "n_chars"), with_text=True)
+    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
+@_tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: a row for each piece of a document, with its bin."""
     counted = Staged(packing.with_token_counts(docs, queries.tokenizer_file("byte_bpe_50k.json")), "counted").read()
     return packing.pack_sequences(counted, "n_ids")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", keep_good_texts),
     ("quality_classifier", keep_good_sites),
     ("near_dedup", drop_near_duplicates),
