@@ -41,7 +41,7 @@ from blockstrata.llm.induced import suffixes
 
 GRAM = 16
 #: Text bytes for which a shard is made, at least.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: Bytes in a block, and in what is worked on at once.
 BLOCK, _STRIP = 2 << 20, 1 << 20
 _LOW = U64((1 << 40) - 1)
@@ -222,11 +222,26 @@ def _sent(table: DataFrame, length: int, shards: int) -> DataFrame:
     return table.mapInArrow(tidied(run), "shard int, block long, least binary, size binary, chars binary")
 
 
+def _hashes(chars: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and anchor of each segment, some thousands at a time."""
+    key, anchor = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    for at in range(0, len(size), 4096):
+        own = slice(at, at + 4096)
+        low = start[at]
+        prefix = prefix_hashes(chars[low : start[own][-1] + size[own][-1]])
+        begin = start[own] - low
+        key[own] = span_hashes(prefix, begin, begin + size[own]) ^ size[own].astype(np.uint64)
+        inside = begin[:, None] + np.arange(length - GRAM + 1)
+        grams = span_hashes(prefix, inside, inside + GRAM)
+        anchor[own] = grams[np.arange(len(grams)), (grams & ~_PLACE).argmin(1)]
+    return key, anchor
+
+
 def earlier_windows(least: np.ndarray, size: np.ndarray, chars: np.ndarray, length: int) -> np.ndarray:
     """For each segment (``size`` bytes of ``chars``, first in ``least``) a bit for each window: whether a smaller doc has it."""
     end = np.cumsum(size)
-    key = span_hashes(prefix_hashes(chars), end - size, end)
-    _, first, entry = np.unique(key ^ size.astype(np.uint64), return_index=True, return_inverse=True)
+    key, anchor = _hashes(chars, end - size, size, length)
+    _, first, entry = np.unique(key, return_index=True, return_inverse=True)
     docs = np.full(len(first), _LAST)
     np.minimum.at(docs, entry, least)
     windows = size - length + 1
@@ -234,20 +249,20 @@ def earlier_windows(least: np.ndarray, size: np.ndarray, chars: np.ndarray, leng
     base = np.cumsum(windows[first]) - windows[first]
     # windows of different segments can only be equal where the segments have one anchor
     start = (end - size)[first]
-    inside = start[:, None] + np.arange(length - GRAM + 1)
-    grams = span_hashes(prefix_hashes(chars), inside, inside + GRAM)
-    anchor = grams[np.arange(len(first)), (grams & ~_PLACE).argmin(1)]
-    _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    _, which, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
     own = np.flatnonzero(count[which] > 1)
     if len(own):
         n = size[first[own]]
         total = int(n.sum())
         place = np.cumsum(n + 1) - n - 1  # of each segment in what is sorted
         text = np.zeros(total + len(n), np.uint16)
-        text[np.arange(total) + np.repeat(np.arange(len(n)), n)] = chars[np.arange(total) + np.repeat(start[own] - (np.cumsum(n) - n), n)].astype(np.uint16) + 1
+        for at in range(0, len(n), 4096):
+            some = n[at : at + 4096]
+            step, gap = np.arange(int(some.sum())), np.cumsum(some) - some
+            text[step + np.repeat(place[at : at + 4096] - gap, some)] = chars[step + np.repeat(start[own[at : at + 4096]] - gap, some)].astype(np.uint16) + 1
         order, common = suffixes(text)
         owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
-        left = (place + n)[owner] - np.arange(len(text))
+        left = (place + n).astype(np.int32)[owner] - np.arange(len(text), dtype=np.int32)
         full = left[order] >= length  # equal windows are neighbours, for what is between them has their bytes too
         order = order[full]
         group = np.flatnonzero(np.append(True, common[full][1:] < length))
