@@ -68,14 +68,18 @@ def _give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep_tables: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, which at its end gives memory back: workers serve many stages, and what one leaves the next has not."""
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep_tables: bool = False, each: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which at its end, or behind ``each`` batch, gives memory back: workers serve many stages, and what one leaves the next has not."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keep_tables:
             _clear_tables()
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield batch
+                del batch
+                if each:
+                    _give_back()
         finally:
             _give_back()
 

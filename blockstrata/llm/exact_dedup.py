@@ -43,7 +43,7 @@ GRAM = 16
 #: Text bytes for which a shard is made, at least.
 SHARD = 4 << 20
 #: Bytes in a block, and in what is worked on at once.
-BLOCK, _STRIP = 2 << 20, 1 << 20
+BLOCK, _STRIP = 2 << 20, 1 << 19
 _LOW = U64((1 << 40) - 1)
 #: The bits of a gram's hash that its place takes when the least is looked for.
 _PLACE = U64(2 * _STRIP - 1)
@@ -83,7 +83,7 @@ def blocks(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([x], pa.binary()) for x in (ids + null, offs.astype("<i8").tobytes(), _shrunk(raw.tobytes()), rest))], ["block", "ids", "offs", "raw", "rest"])
                 block += 1
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(tidied(run), "block long, ids binary, offs binary, raw binary, rest binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(tidied(run, each=True), "block long, ids binary, offs binary, raw binary, rest binary")
 
 
 class Block:
@@ -183,7 +183,7 @@ def _anchors(table: DataFrame, length: int, shards: int) -> DataFrame:
             parts = _by_shard((unique >> U64(40)).astype(np.int64), shards)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([low[at].tobytes() for _, at in parts], pa.binary())], ["shard", "block", "anchors"])
 
-    return table.mapInArrow(tidied(run), "shard int, block long, anchors binary")
+    return table.mapInArrow(tidied(run, each=True), "shard int, block long, anchors binary")
 
 
 def _elsewhere(anchors: DataFrame, shards: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _elsewhere(anchors: DataFrame, shards: int) -> DataFrame:
                 more = np.split(count[inverse] > 1, np.cumsum(size)[:-1])
                 yield pa.RecordBatch.from_arrays([rows.column(1).slice(s, e - s), rows.column(0).slice(s, e - s), pa.array([np.packbits(x).tobytes() for x in more], pa.binary())], ["block", "shard", "bits"])
 
-    return anchors.repartition(spread(anchors.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(tidied(run), "block long, shard int, bits binary")
+    return anchors.repartition(spread(anchors.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(tidied(run, each=True), "block long, shard int, bits binary")
 
 
 def _collected(rows: DataFrame, name: str) -> DataFrame:
@@ -219,7 +219,7 @@ def _sent(table: DataFrame, length: int, shards: int) -> DataFrame:
             parts = _by_shard(shard, shards)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([least[at].astype("<i8").tobytes() for _, at in parts], pa.binary()), pa.array([size[at].tobytes() for _, at in parts], pa.binary()), pa.array([_shrunk(block.gather(one[at])) for _, at in parts], pa.binary())], ["shard", "block", "least", "size", "chars"])
 
-    return table.mapInArrow(tidied(run), "shard int, block long, least binary, size binary, chars binary")
+    return table.mapInArrow(tidied(run, each=True), "shard int, block long, least binary, size binary, chars binary")
 
 
 def _hashes(chars: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,7 +288,7 @@ def _earlier(sent: DataFrame, length: int, shards: int) -> DataFrame:
                 count = np.cumsum([len(x) // 2 for x in part.column(3).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array([_shrunk(x.tobytes()) for x in np.split(bits, count[:-1])], pa.binary())], ["block", "shard", "earlier"])
 
-    return sent.repartition(spread(sent.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(tidied(run), "block long, shard int, earlier binary")
+    return sent.repartition(spread(sent.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(tidied(run, each=True), "block long, shard int, earlier binary")
 
 
 def _removed(block: Block, shards: int, bits: dict[int, bytes], earlier: dict[int, bytes]) -> np.ndarray:
@@ -343,7 +343,7 @@ def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text:
                 columns.append(pa.array([None if n else k.decode("utf-8", "ignore") for k, n in zip(kept, block.textless, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays([*(_unpacked(rest).columns if rest else []), *columns], schema.names)
 
-    return both.mapInArrow(tidied(run), schema)
+    return both.mapInArrow(tidied(run, each=True), schema)
 
 
 def _release(spark: object) -> None:
