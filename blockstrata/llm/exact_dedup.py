@@ -69,13 +69,13 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(_grown(data)).read_next_batch()
 
 
-def blocks(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def blocks(docs: DataFrame, keep: Sequence[str] = (), block_bytes: int = BLOCK) -> DataFrame:
     """block, ids (8 bytes each, and a byte each for a null id and for a null text), offs, raw, rest (other columns): about two megabytes of texts each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for a, e, raw, offs in text_chunks(batch.column(1), BLOCK):
+            for a, e, raw, offs in text_chunks(batch.column(1), block_bytes):
                 own, text = batch.column(0).slice(a, e - a), batch.column(1).slice(a, e - a)
                 ids = own.fill_null(_LAST).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
                 null = b"".join(np.asarray(c.is_null()).astype(np.uint8).tobytes() for c in (own, text))
@@ -308,14 +308,14 @@ def _removed(block: Block, shards: int, bits: dict[int, bytes], earlier: dict[in
     return np.cumsum(change)[:-1] > 0
 
 
-def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of ``docs`` (doc_id, text), before them its ``keep`` columns; ``kept_text``, what stays without characters that were cut in part (null for null), if asked for."""
+def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text: bool = False, block_bytes: int = BLOCK, shard_bytes: int = SHARD) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of ``docs`` (doc_id, text), before them its ``keep`` columns; ``kept_text``, what stays without characters that were cut in part (null for null), if asked for. Smaller blocks and shards take less memory at a time and more rows in shuffles."""
     spark = docs.sparkSession
     if not GRAM < length <= GRAM + 39:  # a segment's windows fit 40 bits
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 39}")
-    table = Staged(blocks(docs, keep), "blocks")
+    table = Staged(blocks(docs, keep, block_bytes), "blocks")
     size = table.read().agg(F.sum(F.octet_length("offs")), F.sum(F.octet_length("raw"))).first()
-    shards = spread(spark, -(-3 * (size[1] or 0) // SHARD))
+    shards = spread(spark, -(-3 * (size[1] or 0) // shard_bytes))
     bits = Staged(_elsewhere(_anchors(table.read().drop("rest"), length, shards), shards), "bits")
     _release(spark)
     flagged = table.read().drop("rest").join(_collected(bits.read(), "bits"), "block", "left")

@@ -67,7 +67,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_tidy
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: bytes that a document with a smaller doc_id has in a string of 50 go."""
-    cut = exact_dedup.cut(docs, 50, ("lang", "source", "n_chars"), with_text=True)
+    cut = exact_dedup.cut(docs, 50, ("lang", "source", "n_chars"), with_text=True, block_bytes=1 << 20, shard_bytes=2 << 20)
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
