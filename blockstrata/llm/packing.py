@@ -100,16 +100,16 @@ def pack_sequences(df: DataFrame, size: str, lengths: Sequence[int] = LENGTHS, o
     return pieces.select(*own, "piece", "start", "n_tokens").repartition(tasks).mapInArrow(tidied(run, keep_tables=True), schema)
 
 
-def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",), end: int = 1) -> DataFrame:
-    """``keep`` of ``docs`` and ``n_ids``: the tokenizer's ids of the whole text and ``end`` more."""
+def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",), end: int = 1, table: int = 1_500_000, at_once: int = 2 << 20) -> DataFrame:
+    """``keep`` of ``docs`` and ``n_ids``: the tokenizer's ids of the whole text and ``end`` more; ``table`` chunks are remembered, ``at_once`` bytes worked on."""
     kept = clashing(docs.select(*keep), "n_ids")
     rows = docs.select(*kept.columns, F.col(text).alias("_text"))
     own = kept.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.of(tokenizer)
+        encoder = ChunkEncoder.of(tokenizer, table)
         for batch in batches:
-            for a, e, _, at in encoder.chunks(batch.column(len(own))):
+            for a, e, _, at in encoder.chunks(batch.column(len(own)), at_once):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, e - a) for i in range(len(own))), pa.array(np.diff(at) + end)], [*own, "n_ids"])
 
     return rows.mapInArrow(tidied(run, keep_tables=True), T.StructType([*kept.schema, T.StructField("n_ids", T.LongType())]))

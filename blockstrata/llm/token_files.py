@@ -112,9 +112,9 @@ class ChunkEncoder:
         self.direct = all(self._whole(space + p) == self._pieces(p, space) for space in ("", " ") for p in probes if p[-1] != "\n")
 
     @staticmethod
-    def of(path: str) -> ChunkEncoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = ChunkEncoder(path)
+    def of(path: str, most: int = 1_500_000) -> ChunkEncoder:
+        if path not in _ENCODERS or _ENCODERS[path].known.most != most:
+            _ENCODERS[path] = ChunkEncoder(path, most)
         return _ENCODERS[path]
 
     def _whole(self, text: str) -> bytes:
@@ -180,9 +180,9 @@ class ChunkEncoder:
             bad[np.searchsorted(offs, at, side="right") - 1] = True
         return bad
 
-    def chunks(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def chunks(self, column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids of their texts end to end, offsets of each text's ids)."""
-        for a, e, raw, offs in text_chunks(column, 2 << 20):
+        for a, e, raw, offs in text_chunks(column, most_bytes):
             bad = self._together(raw, offs)
             prefix = prefix_hashes(raw)
             spaces = np.flatnonzero(raw == 32)

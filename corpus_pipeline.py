@@ -75,7 +75,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: a row for each piece of a document, with its bin."""
-    counted = Staged(packing.with_token_counts(docs, queries.tokenizer_file("byte_bpe_50k.json")), "counted").read()
+    counted = Staged(packing.with_token_counts(docs, queries.tokenizer_file("byte_bpe_50k.json"), table=300_000, at_once=1 << 19), "counted").read()
     return packing.pack_sequences(counted, "n_ids")
 
 
