@@ -6,15 +6,18 @@ bytes the 16-byte gram of least hash is its anchor; equal windows have equal anc
 consecutive windows of one anchor make one segment. Anchors that occur in one document
 alone are dropped, exactly: each block of texts sends its distinct anchors to a shard by
 their hash and is told which other blocks have. The other segments go to shards by anchor,
-each distinct one once a block, with the least doc_id that has it. A shard orders the
-suffixes of its distinct segments by external induced sorting (induced.py); neighbours with
+each distinct one once a block, with the least doc_id that has it. An anchor with more
+segments than a shard should hold (a common line in ever other context) is split: each of
+its windows goes for itself, to the shard of its own hash. A shard orders the
+suffixes of its distinct segments by induced sorting (induced.py); neighbours with
 a common prefix of ``length`` or more are one string, whose least doc_id follows; a
 segment that has its anchor to itself needs no sorting, as no other can match it. A block
 gets back a bit for each window of what it sent: whether a smaller document than its own
 has it.
 
-An anchor or segment of a third of all documents costs a shard one entry a block of about
-two megabytes, not one a document. Blocks are kept compressed, read three times, and rows of
+A shard is sorted in memory, and is made to fit: for some megabytes of text, and without
+split anchors. A segment or window of a third of all documents costs a shard one entry a
+block of about two megabytes, not one a document. Blocks are kept compressed, read three times, and rows of
 one block never leave it.
 
 Defined results: null counts as empty; a null doc_id sorts behind all others; documents of
@@ -42,6 +45,8 @@ from blockstrata.llm.induced import suffixes
 GRAM = 16
 #: Text bytes for which a shard is made, at least.
 SHARD = 4 << 20
+#: An anchor is split from one segment for so many of a shard's bytes on; blocks give counts beyond FEW, fewer count as one.
+SPLIT, FEW = 128, 4
 #: Bytes in a block, and in what is worked on at once.
 BLOCK, _STRIP = 2 << 20, 1 << 19
 _LOW = U64((1 << 40) - 1)
@@ -127,42 +132,59 @@ class Block:
         """Shard and 40 bits of each segment's anchor."""
         return ((self.anchor >> U64(40)) % U64(shards)) << U64(40) | (self.anchor & _LOW)
 
-    def shared(self, shards: int, bits: dict[int, bytes]) -> np.ndarray:
-        """Segments whose anchors another document has: in another block, as ``bits`` say, or in this one."""
+    def shared(self, shards: int, bits: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Segments whose anchors another document has, in another block, as ``bits`` say, or in this one; and whether the anchor is split."""
         unique, inverse = np.unique(self.keys(shards), return_inverse=True)
-        out = np.zeros(len(unique), bool)
+        out, split = np.zeros((2, len(unique)), bool)
         bounds = np.searchsorted(unique, np.arange(shards + 1, dtype=np.uint64) << U64(40))
         for s, b in bits.items():
-            out[bounds[s] : bounds[s + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=bounds[s + 1] - bounds[s]).astype(bool)
+            n = int(bounds[s + 1] - bounds[s])
+            for flags, part in ((out, b[: -(-n // 8)]), (split, b[-(-n // 8) :])):
+                if part:
+                    flags[bounds[s] : bounds[s + 1]] = np.unpackbits(np.frombuffer(part, np.uint8), count=n).astype(bool)
         low, high = np.full(len(unique), _LAST), np.full(len(unique), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, self.doc)
         np.maximum.at(high, inverse, self.doc)
-        return np.flatnonzero((out | (low != high))[inverse])
-
-    def entries(self, own: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct segments among ``own``, by shard: (one of each, its shard, its least doc, each of ``own``'s entry)."""
-        start, end = self.start[own], self.start[own] + self.windows[own] + self.length - 1
-        hashes = np.zeros(len(own), np.uint64)
+        own = np.flatnonzero((out | (low != high))[inverse])
+        return own, split[inverse[own]]
+
+    def dealt(self, shards: int, bits: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, windows, doc, shard) of what is shared: segments, and each window of those with a split anchor, whose shard is -1."""
+        own, split = self.shared(shards, bits)
+        whole, cut = own[~split], own[split]
+        n = self.windows[cut]
+        total = int(n.sum())
+        start = np.repeat(self.start[cut] - (np.cumsum(n) - n), n) + np.arange(total)
+        shard = (self.keys(shards)[whole] >> U64(40)).astype(np.int64)
+        return (
+            np.concatenate([self.start[whole], start]), np.concatenate([self.windows[whole], np.ones(total, np.int64)]),
+            np.concatenate([self.doc[whole], np.repeat(self.doc[cut], n)]), np.concatenate([shard, np.full(total, -1)]),
+        )
+
+    def entries(self, start: np.ndarray, windows: np.ndarray, doc: np.ndarray, shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct ones of what is dealt, by shard: (one of each, its shard, its least doc, the entry of each)."""
+        end = start + windows + self.length - 1
+        hashes = np.zeros(len(start), np.uint64)
         strip = start // _STRIP
         for s in np.unique(strip):
             at = np.flatnonzero(strip == s)
             lo = int(start[at].min())
             hashes[at] = span_hashes(prefix_hashes(self.raw[lo : int(end[at].max())]), start[at] - lo, end[at] - lo)
-        shard = (self.keys(shards)[own] >> U64(40)).astype(np.int64)
+        shard = np.where(shard < 0, ((hashes >> U64(40)) % U64(shards)).astype(np.int64), shard)
         order = np.lexsort((hashes, shard))
-        new = np.ones(len(own), bool)
+        new = np.ones(len(start), bool)
         new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (shard[order][1:] != shard[order][:-1])
-        entry = np.empty(len(own), np.int64)
+        entry = np.empty(len(start), np.int64)
         entry[order] = np.cumsum(new) - 1
         least = np.full(int(new.sum()), _LAST)
-        np.minimum.at(least, entry, self.doc[own])
-        return own[order[new]], shard[order[new]], least, entry
+        np.minimum.at(least, entry, doc)
+        return order[new], shard[order[new]], least, entry
 
-    def gather(self, segments: np.ndarray) -> bytes:
+    def gather(self, starts: np.ndarray, sizes: np.ndarray) -> bytes:
         """Their bytes end to end."""
         parts = []
-        for at in range(0, len(segments), 4096):
-            start, size = self.start[segments[at : at + 4096]], self.windows[segments[at : at + 4096]] + self.length - 1
+        for at in range(0, len(starts), 4096):
+            start, size = starts[at : at + 4096], sizes[at : at + 4096]
             parts.append(self.raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes())
         return b"".join(parts)
 
@@ -172,22 +194,27 @@ def _by_shard(shard: np.ndarray, shards: int) -> list[tuple[int, slice]]:
     return [(s, slice(bounds[s], bounds[s + 1])) for s in range(shards) if bounds[s] < bounds[s + 1]]
 
 
+def _many(count: np.ndarray) -> bytes:
+    at = np.flatnonzero(count > FEW)
+    return np.stack([at, count[at]], 1).astype("<u4").tobytes()
+
+
 def _anchors(table: DataFrame, length: int, shards: int) -> DataFrame:
-    """shard, block, anchors (5 bytes each): a block's distinct ones."""
+    """shard, block, anchors (5 bytes each), many: a block's distinct ones, and (place, count) of those with more than FEW segments."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
             name, *rest = (batch.column(k)[0].as_py() for k in range(4))
-            unique = np.unique(Block(*rest, length).keys(shards))
+            unique, count = np.unique(Block(*rest, length).keys(shards), return_counts=True)
             low = unique.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             parts = _by_shard((unique >> U64(40)).astype(np.int64), shards)
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([low[at].tobytes() for _, at in parts], pa.binary())], ["shard", "block", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([low[at].tobytes() for _, at in parts], pa.binary()), pa.array([_many(count[at]) for _, at in parts], pa.binary())], ["shard", "block", "anchors", "many"])
 
-    return table.mapInArrow(tidied(run, each=True), "shard int, block long, anchors binary")
+    return table.mapInArrow(tidied(run, each=True), "shard int, block long, anchors binary, many binary")
 
 
-def _elsewhere(anchors: DataFrame, shards: int) -> DataFrame:
-    """block, shard, bits: which of a block's anchors another block has."""
+def _elsewhere(anchors: DataFrame, shards: int, most: int) -> DataFrame:
+    """block, shard, bits: which of a block's anchors another block has; behind them, if any are, which are split, as all blocks together have over ``most`` segments."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, offs in grouped(iter(batches), 1):
@@ -198,7 +225,12 @@ def _elsewhere(anchors: DataFrame, shards: int) -> DataFrame:
                 wide[:, :5] = np.frombuffer(b"".join(sent), np.uint8).reshape(-1, 5)
                 _, inverse, count = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
                 more = np.split(count[inverse] > 1, np.cumsum(size)[:-1])
-                yield pa.RecordBatch.from_arrays([rows.column(1).slice(s, e - s), rows.column(0).slice(s, e - s), pa.array([np.packbits(x).tobytes() for x in more], pa.binary())], ["block", "shard", "bits"])
+                segments = np.ones(len(inverse), np.int64)
+                for low, many in zip(np.cumsum(size) - size, rows.column(3).slice(s, e - s).to_pylist(), strict=True):
+                    at = np.frombuffer(many, "<u4").reshape(-1, 2)
+                    segments[low + at[:, 0]] = at[:, 1]
+                split = np.split((np.bincount(inverse, segments) > most)[inverse], np.cumsum(size)[:-1])
+                yield pa.RecordBatch.from_arrays([rows.column(1).slice(s, e - s), rows.column(0).slice(s, e - s), pa.array([np.packbits(x).tobytes() + (np.packbits(y).tobytes() if y.any() else b"") for x, y in zip(more, split, strict=True)], pa.binary())], ["block", "shard", "bits"])
 
     return anchors.repartition(spread(anchors.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(tidied(run, each=True), "block long, shard int, bits binary")
 
@@ -214,10 +246,11 @@ def _sent(table: DataFrame, length: int, shards: int) -> DataFrame:
         for batch in small_batches(batches, 1):
             name, *rest, bits = (batch.column(k)[0].as_py() for k in range(5))
             block = Block(*rest, length)
-            one, shard, least, _ = block.entries(block.shared(shards, dict(bits or ())), shards)
-            size = (block.windows[one] + length - 1).astype("<u2")
+            dealt = block.dealt(shards, dict(bits or ()))
+            one, shard, least, _ = block.entries(*dealt, shards)
+            start, size = dealt[0][one], (dealt[1][one] + length - 1).astype("<u2")
             parts = _by_shard(shard, shards)
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([least[at].astype("<i8").tobytes() for _, at in parts], pa.binary()), pa.array([size[at].tobytes() for _, at in parts], pa.binary()), pa.array([_shrunk(block.gather(one[at])) for _, at in parts], pa.binary())], ["shard", "block", "least", "size", "chars"])
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([least[at].astype("<i8").tobytes() for _, at in parts], pa.binary()), pa.array([size[at].tobytes() for _, at in parts], pa.binary()), pa.array([_shrunk(block.gather(start[at], size[at].astype(np.int64))) for _, at in parts], pa.binary())], ["shard", "block", "least", "size", "chars"])
 
     return table.mapInArrow(tidied(run, each=True), "shard int, block long, least binary, size binary, chars binary")
 
@@ -293,16 +326,16 @@ def _earlier(sent: DataFrame, length: int, shards: int) -> DataFrame:
 
 def _removed(block: Block, shards: int, bits: dict[int, bytes], earlier: dict[int, bytes]) -> np.ndarray:
     """Whether each byte of a block goes."""
-    own = block.shared(shards, bits)
-    _, shard, least, entry = block.entries(own, shards)
+    start, windows, doc, by = block.dealt(shards, bits)
+    _, shard, least, entry = block.entries(start, windows, doc, by, shards)
     wide = np.zeros((len(least), 8), np.uint8)
     for s, at in _by_shard(shard, shards):
         wide[at, :5] = np.frombuffer(_grown(earlier[s]), np.uint8).reshape(-1, 5)
     mask = wide.view("<u8").ravel()[entry]
-    mask[block.doc[own] > least[entry]] = np.iinfo(np.uint64).max
+    mask[doc > least[entry]] = np.iinfo(np.uint64).max
     change = np.zeros(len(block.raw) + 1, np.int32)
     for o in range(block.length - GRAM + 1):
-        at = block.start[own[(mask >> U64(o) & U64(1)).astype(bool) & (block.windows[own] > o)]] + o
+        at = start[(mask >> U64(o) & U64(1)).astype(bool) & (windows > o)] + o
         np.add.at(change, at, 1)
         np.subtract.at(change, at + block.length, 1)
     return np.cumsum(change)[:-1] > 0
@@ -316,7 +349,7 @@ def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text:
     table = Staged(blocks(docs, keep, block_bytes), "blocks")
     size = table.read().agg(F.sum(F.octet_length("offs")), F.sum(F.octet_length("raw"))).first()
     shards = spread(spark, -(-3 * (size[1] or 0) // shard_bytes))
-    bits = Staged(_elsewhere(_anchors(table.read().drop("rest"), length, shards), shards), "bits")
+    bits = Staged(_elsewhere(_anchors(table.read().drop("rest"), length, shards), shards, shard_bytes // SPLIT), "bits")
     _release(spark)
     flagged = table.read().drop("rest").join(_collected(bits.read(), "bits"), "block", "left")
     earlier = Staged(_earlier(_sent(flagged.select("block", "ids", "offs", "raw", "bits"), length, shards), length, shards), "earlier")

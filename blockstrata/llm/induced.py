@@ -1,4 +1,4 @@
-"""Suffix order and common prefixes by external induced sorting, in vectorised batches.
+"""Suffix order and common prefixes by induced sorting, in vectorised batches.
 
 A priority queue holds suffix tuples (symbol, position, common prefix with the tuple
 before). Induction takes all tuples of the least symbol at once, in the order in which they
@@ -6,7 +6,9 @@ were pushed, and pushes the suffixes one position earlier: pushed in suffix orde
 tuples of a symbol already stand in order, so the queue needs one spool for each symbol. The
 common prefix of a pushed tuple with the one before it in its spool is one more than the least
 common prefix scanned between their origins. Spools beyond a memory budget go to an
-anonymous scratch file, which ends with the task, as Spark's own spills do.
+anonymous scratch file, which ends with the task, as Spark's own spills do. Only the queue
+does: the text, its types and the order returned are in memory, so what is sorted at once
+must fit it (exact_dedup.py makes its shards for that).
 
 First the substrings between leftmost-smaller positions are sorted by induction and named;
 where names are not unique, the reduced string of names is sorted in turn, by doubling: a

@@ -69,3 +69,19 @@ def test_suffix_order_and_common_prefixes(alphabet):
                 assert a <= b
                 n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
                 assert common[i] == min(n, induced.LONGEST)
+
+
+def test_a_hot_line_in_differing_context_is_split(spark):
+    draw = random.Random(1)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    line, contexts = "a line that nearly every document of the table has 1", [(text(40), text(40)) for _ in range(1500)]
+    rows = [(i, a + line + b) for i, (a, b) in enumerate(contexts)] + [(2000 + i, a[20:] + line + b[:20]) for i, (a, b) in enumerate(contexts[:100])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    table = exact_dedup.Staged(exact_dedup.blocks(df, block_bytes=1 << 15), "blocks").read()
+    length, shards, most = 50, 40, 200
+    bits = exact_dedup._elsewhere(exact_dedup._anchors(table.drop("rest"), length, shards), shards, most)
+    sent = exact_dedup._sent(table.drop("rest").join(exact_dedup._collected(bits, "bits"), "block", "left").select("block", "ids", "offs", "raw", "bits"), length, shards)
+    held = {r.shard: r.n for r in sent.selectExpr("shard", "octet_length(size) div 2 AS n").groupBy("shard").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert max(held.values()) < 2 * sum(held.values()) / shards  # one anchor alone would be all of a shard's
+    for shard_bytes in (1 << 14, exact_dedup.SHARD):  # split and whole give the same
+        assert _rows(exact_dedup.cut(df, length, block_bytes=1 << 15, shard_bytes=shard_bytes).collect()) == _brute(rows, length)
