@@ -12,8 +12,9 @@ each block's queries meet each block of rows, and each meeting is a task of fixe
 that returns the best of every query, so memory does not follow the input.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null
-or non-finite component take no part, nor do null ids; rows of one id count once (the
-first by value); ties go to the smaller id; an empty table gives an empty result.
+or non-finite component take no part, nor do null ids; rows equal in id and vector count
+once, others of one id are rows of their own, each asked and found; a row does not find
+itself; ranks count from 1 for each row that asks; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,16 +118,16 @@ def build(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", sampl
         return Index(Staged(df.sparkSession.createDataFrame([], "block int, ids binary, codes binary, vectors binary"), "ann"), 0, 0, kind, None)
     dims, count = size[0], max(1, -(-size[1] // block))
     valid = valid.where(F.size("v") == dims)
-    drawn = valid.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    drawn = valid.orderBy(F.xxhash64("id", "v"), "id", "v").limit(sample).collect()
     book = Codebook.fit(np.array([r.v for r in drawn], float))
-    dealt = valid.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("block"), "id", "v").repartition(count, "block").sortWithinPartitions("block", "id", "v")
+    dealt = valid.select(F.pmod(F.xxhash64("id", "v"), F.lit(count)).cast("int").alias("block"), "id", "v").repartition(count, "block").sortWithinPartitions("block", "id", "v")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, offs in grouped(iter(batches), 1):
             for s, e in zip(offs[:-1], offs[1:], strict=True):
                 ids = rows.column(1).slice(s, e - s).to_numpy()
                 x = rows.column(2).slice(s, e - s).flatten().to_numpy().reshape(-1, dims)
-                first = np.unique(ids, return_index=True)[1]
+                first = np.append(True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1))
                 ids, x = ids[first], x[first]
                 codes = np.concatenate([book.encode(x[i : i + 4096].astype(float)) for i in range(0, len(x), 4096)]).astype(np.uint8)
                 both = codes[:, 0::2] * 16 + codes[:, 1::2]
@@ -147,20 +148,21 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
 def search(index: Index, every: int = 20, most: int = 20, rerank: int = 160, at_once: int = 32) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``most`` largest inner products found for each query."""
     spark, dims, kind, book = index.blocks.spark, index.dims, index.dtype, index.book
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, asks int, place long, vec_id long, score double"
 
     def questions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1):
             ids = np.frombuffer(b.column(1)[0].as_py(), "<i8")
-            own = ids % every == 0
+            own = np.flatnonzero(ids % every == 0)
             x = np.frombuffer(b.column(2)[0].as_py(), kind).reshape(-1, dims)[own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids[own].tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["asks", "query_ids", "queries"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c.tobytes()], pa.binary()) for c in (ids[own], own.astype("<i8"), x))], ["asks", "query_ids", "places", "queries"])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1):
-            q_ids, ids = (np.frombuffer(b.column(k)[0].as_py(), "<i8") for k in (0, 2))
-            q, x = (np.frombuffer(b.column(k)[0].as_py(), kind).reshape(-1, dims) for k in (1, 4))
-            codes = np.ascontiguousarray(np.frombuffer(b.column(3)[0].as_py(), np.uint8).reshape(len(ids), -1).T)
+            q_ids, places, ids = (np.frombuffer(b.column(k)[0].as_py(), "<i8") for k in (0, 1, 3))
+            q, x = (np.frombuffer(b.column(k)[0].as_py(), kind).reshape(-1, dims) for k in (2, 5))
+            block, asks = (b.column(k)[0].as_py() for k in (6, 7))
+            codes = np.ascontiguousarray(np.frombuffer(b.column(4)[0].as_py(), np.uint8).reshape(len(ids), -1).T)
             for at in range(0, len(q), at_once):
                 part = q[at : at + at_once].astype(float)
                 tables = book.tables(part)
@@ -168,21 +170,23 @@ def search(index: Index, every: int = 20, most: int = 20, rerank: int = 160, at_
                 for m in range(len(codes)):
                     approx += np.take(tables[:, m], codes[m], axis=1)
                 for i in range(len(part)):
-                    approx[i, ids == q_ids[at + i]] = -np.inf
+                    own = places[at + i] if block == asks else -1
+                    if own >= 0:
+                        approx[i, own] = -np.inf
                     rows = _best(approx[i], rerank)
-                    rows = rows[ids[rows] != q_ids[at + i]]
+                    rows = rows[rows != own]
                     exact = np.zeros(len(rows))
                     for d in range(dims):  # in order, so that equal vectors have equal scores
                         exact += x[rows, d].astype(float) * part[i, d]
                     top = np.lexsort((ids[rows], -exact))[:most]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q_ids[at + i])), pa.array(ids[rows[top]]), pa.array(exact[top])], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q_ids[at + i])), pa.array(np.full(len(top), asks, np.int32)), pa.array(np.full(len(top), places[at + i])), pa.array(ids[rows[top]]), pa.array(exact[top])], ["query_id", "asks", "place", "vec_id", "score"])
 
     if not index.count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = index.blocks.read()
-    asked = blocks.select("block", "ids", "vectors").mapInArrow(tidied(questions), "asks int, query_ids binary, queries binary")
+    asked = blocks.select("block", "ids", "vectors").mapInArrow(tidied(questions), "asks int, query_ids binary, places binary, queries binary")
     pairs = spark.range(index.count**2).select((F.col("id") % index.count).cast("int").alias("block"), F.floor(F.col("id") / index.count).cast("int").alias("asks"))
-    met = pairs.join(asked, "asks").join(blocks, "block").select("query_ids", "queries", "ids", "codes", "vectors", "block", "asks")
-    found = met.repartition(min(index.count**2, 4096), "block", "asks").drop("block", "asks").mapInArrow(tidied(scan), schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = pairs.join(asked, "asks").join(blocks, "block").select("query_ids", "places", "queries", "ids", "codes", "vectors", "block", "asks")
+    found = met.repartition(min(index.count**2, 4096), "block", "asks").mapInArrow(tidied(scan), schema)
+    order = Window.partitionBy("query_id", "asks", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")

@@ -52,3 +52,13 @@ def test_odd_vectors(spark, as_dir):
 def test_fewer_rows_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.search(ann.build(df)).collect()] == [(0, 1, 1, 4.0)]
+
+
+@pytest.mark.parametrize("block", [2, 100])
+def test_rows_of_one_id(spark, block):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [3.0, 1.0]), (1, [1.0, 4.0]), (1, [1.0, 4.0]), (2, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.search(ann.build(df, block=block)).collect()]
+    one = [(0, 1, 1, 3.0), (0, 2, 2, 2.0), (0, 3, 1, 1.0), (0, 4, 0, 0.0)]  # asked by the first row of id 0, then by the second
+    two = [(0, 1, 1, 8.0), (0, 2, 2, 4.0), (0, 3, 1, 2.0), (0, 4, 0, 0.0)]
+    assert sorted(got) == sorted(one + two)
