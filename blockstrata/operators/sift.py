@@ -29,6 +29,7 @@ class Sifter:
 
     writer: Writer
     ids: dict[tuple[str, object, int], int] = field(default_factory=dict)
+    signatures: dict[tuple[str, object], int] = field(default_factory=dict)
     ranges: dict[tuple[object, int], tuple[int, int]] = field(default_factory=dict)
     done: set[tuple[object, str, int]] = field(default_factory=set)
     sources: dict[object, Recording] = field(default_factory=dict)
@@ -45,6 +46,16 @@ class Sifter:
             self.ids[key] = self.writer.next_id(kind)
         return self.ids[key]
 
+    def find_id_by_signature(self, kind: str, signature: object) -> int | None:
+        return self.signatures.get((kind, signature))
+
+    def map_id_by_signature(self, kind: str, signature: object) -> int:
+        """One id for all tests or decoders of a signature (``Program.signature``), whatever their files and ids; ``add`` itself goes by file and id."""
+        key = (kind, signature)
+        if key not in self.signatures:
+            self.signatures[key] = self.writer.next_id(kind)
+        return self.signatures[key]
+
     def map_group(self, file: object, old: int, start: int, end: int) -> int:
         """A group's new id; the range of its blocks grows to hold every one asked for."""
         low, high = self.ranges.get((file, old), (start, end))
@@ -52,7 +63,7 @@ class Sifter:
         return self.map_id("group", file, old)
 
     def total_entries(self) -> int:
-        return len(self.ids)
+        return len(self.ids) + len(self.signatures)
 
     def add(self, recording: Recording, channel: int, start: int = 0, end: int | None = None) -> None:
         """A channel's blocks ``start`` to ``end``, and its definition; a second time only widens the range."""

@@ -12,12 +12,13 @@ from blockstrata.functions import expr, text
 from blockstrata.operators import crush, groups, recover, rows, sift
 from blockstrata.operators.histogram import histogram
 from blockstrata.plans.kernels import evaluate
-from blockstrata.plans.program import expression
+from blockstrata.plans.program import compile_decoder, expression
 from blockstrata.sources import datasource
 from blockstrata.sources.decoding import frame, unframe
 from blockstrata.sources.framing import encode
 from blockstrata.sources.recording import Recording
 from blockstrata.sources.writer import Writer
+from blockstrata.sources.xml import parse
 from blockstrata.streaming import ingest
 
 XML = """
@@ -189,6 +190,17 @@ def test_sift(spark, path, tmp_path):
     assert rows.equal(file.read(messages.id), old.read(2))
 
 
+def test_sift_by_signature():
+    loop = '<decoder id="{}"><loop><read var="{}" bits="{}" type="uint" endian="big"/><sample/></loop></decoder>'
+    a, same, other = (compile_decoder(parse(loop.format(*x))).signature() for x in ((1, "v0", 8), (7, "v0", 8), (1, "v0", 16)))
+    s = sift.Sifter(Writer(lambda data: None))
+    assert s.find_id_by_signature("decoder", a) is None
+    first = s.map_id_by_signature("decoder", a)
+    assert s.map_id_by_signature("decoder", same) == s.find_id_by_signature("decoder", a) == first
+    assert s.map_id_by_signature("decoder", other) == first + 1 and s.map_id("decoder", "a.rec", 1) == first + 2
+    assert s.find_id_by_signature("test", a) is None and s.total_entries() == 3
+
+
 def test_recover(tmp_path):
     blocks = [encode(2, bytes([i]) * (30 + i)) for i in range(12)]
     data = b"".join(blocks)
