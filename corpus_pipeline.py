@@ -5,8 +5,10 @@ group, passages that an earlier document has are cut out, and what stays is pack
 stage works on all that the one before kept; all but the last return the columns of
 documents. Both classifiers are trained on the labelled rows of the original tables.
 
-Defined results: an empty table passes through every stage as an empty one; of rows that
-repeat a doc_id, near-duplicate detection keeps or drops all; a text of which passages are
+Defined results: an empty table passes through every stage as an empty one; rows that
+repeat a doc_id or have none are documents of their own to near-duplicate detection, and of
+a group the one of the smallest doc_id stays (null is behind all others, of equal ids the
+first by a hash of the row); a text of which passages are
 cut loses the characters that the cut leaves incomplete, and n_chars follows; a document
 of which nothing stays remains as an empty text.
 """
@@ -57,11 +59,19 @@ def keep_good_sites(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates (five words, 0.8): of each group the document with the smallest doc_id stays."""
-    gone = Staged(near_dup.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct(), "gone").read()
+    """Near duplicates (five words, 0.8): of each group the row with the smallest doc_id stays."""
+    count = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    key = "doc_id"
+    if count.ids < count.rows:  # each row gets a number of its own, in the order in which one of a group stays
+        key = "_row"
+        order = (F.col("doc_id").asc_nulls_last(), F.xxhash64(*COLUMNS), F.col("_any"))
+        docs = docs.select(*COLUMNS, F.rand(7).alias("_any")).sort(*order).select(*COLUMNS, F.monotonically_increasing_id().alias(key))
+        docs = Staged(docs, "rows").read()
+    found = near_dup.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"), words=5, percent=80)
+    gone = Staged(found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "gone").read()
     if gone.count() <= near_dup.MOST_BROADCAST:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone, key, "left_anti").select(*COLUMNS)
 
 
 @_tidy

@@ -45,3 +45,14 @@ def test_odd_and_empty(spark, odd, none, as_dir):
         docs = stage(spark, docs, folder)
     assert docs.count() == 16  # of the documents with equal texts the smaller doc_id is left; both rows of the other go
     assert corpus_pipeline.run(spark, as_dir(documents=none, labels=labels)).collect() == []
+
+
+def test_near_duplicates_go_row_by_row(spark, as_dir):
+    words = lambda *n: " ".join(f"w{i}" for i in range(*n))
+    first, near, other, lone, last = words(100), words(100) + " more", words(200, 300), words(400, 500), words(600, 700)
+    rows = [(1, first), (2, near), (2, other), (3, lone), (3, lone), (None, last), (None, last), (None, first), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert out.dtypes == docs.dtypes
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([(1, first), (2, other), (3, lone), (None, last), (None, None), (None, None)], key=key)
