@@ -6,8 +6,6 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from typing import ClassVar
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,27 +15,29 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where that is unset and all runs in one process, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="llm-stage-"))
     return _OWN_DIR[0]
 
 
 class Staged:
-    """A table written once to the shared folder, so that what follows reads it instead of computing it again."""
+    """A table written once to the shared folder, so that what follows reads it instead of computing it again.
 
-    #: Those that are there, for who wants to drop what a call has left.
-    live: ClassVar[list[Staged]] = []
+    Operators drop what they no longer need. What the DataFrame that they return still reads they put into
+    the list that a caller gives as ``left``, who may drop it once that DataFrame has been written.
+    """
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.name = f"{name}-{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/llm_stage/{self.name}"
         self.schema = df.schema
-        Staged.live.append(self)
         df.write.parquet(self.path)
 
     def read(self) -> DataFrame:
@@ -45,13 +45,21 @@ class Staged:
 
     def drop(self) -> None:
         """Delete the files; only once nothing will read the table again."""
-        if self in Staged.live:
-            Staged.live.remove(self)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def roots(df: DataFrame) -> set[str]:
+    """The folders and files that a DataFrame's plan names, none of them listed."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        if leaves.apply(i).nodeName() == "LogicalRelation" and leaves.apply(i).relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaves.apply(i).relation().location().rootPaths()
+            out |= {paths.apply(k).toString() for k in range(paths.size())}
+    return out
+
+
 #: What clears the tables that an operator keeps in a worker between tasks.
 TABLES: list[Callable[[], None]] = []
 _LIBC = ctypes.CDLL(None)
@@ -69,7 +77,10 @@ def _give_back() -> None:
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep_tables: bool = False, each: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, which at its end, or behind ``each`` batch, gives memory back: workers serve many stages, and what one leaves the next has not."""
+    """``run``, which at its end, or behind ``each`` batch, gives memory back: workers serve many stages, and what one leaves the next has not.
+
+    Without ``keep_tables`` the tables that operators keep in a worker go too, before and behind it.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keep_tables:
@@ -81,11 +92,25 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 if each:
                     _give_back()
         finally:
+            if not keep_tables:
+                _clear_tables()
             _give_back()
 
     return wrapped
 
 
+#: Bytes of rows that Spark hands to Python at once, at most.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def small_transfers(spark: SparkSession) -> None:
+    """Bound what Spark hands to Python at once by bytes too: rows of documents have any length. Lowers the session's settings, never raises them."""
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def spread(spark: SparkSession, least: int = 1) -> int:
     """Partitions for a shuffle: the session's own setting, which follows the input on a cluster."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -121,6 +146,17 @@ def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
         row = end
 
 
+#: Bytes of text that are worked on at once where a row's work is a dozen arrays as long as its text.
+AT_ONCE = 1 << 18
+
+
+def with_text(docs: DataFrame, own: list[str], text: str) -> tuple[DataFrame, int]:
+    """``docs`` with columns ``own`` and the text, which is sent once even if it is one of them; and the text's place."""
+    if text in own:
+        return docs.select(*own), own.index(text)
+    return docs.select(*own, docs[text].alias(private(docs, "text_")[0])), len(own)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:
@@ -139,6 +175,17 @@ def clashing(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[c for i, c in enumerate(df.columns) if c.lower() not in low])
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, for an operator's own use."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Whole groups of rows that come sorted by their first ``keys`` columns of integers: (rows of some groups, their offsets).
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import text_chunks, tidied
+from blockstrata.llm._base import AT_ONCE, text_chunks, tidied
 from blockstrata.llm._words import U64, Texts, runs
 
 PLACES = 1 << 16
@@ -112,21 +112,25 @@ def _rows(got: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 2000) -> Model | None:
     """A model of ``labels`` (doc_id and a 0/1 column) over the texts of ``docs`` (doc_id, text).
 
-    At most ``most_rows`` labelled rows are drawn, by a hash of doc_id; a fourth of
+    At most ``most_rows`` labelled documents are drawn, by a hash of doc_id; a fourth of
     them only calibrates. Conflicting labels of a document count by majority, a draw
-    as bad. None where a class has no row: then there is nothing to learn.
+    as bad; of several texts of one doc_id the one with the least hash counts, so what
+    reaches the driver is bounded whatever repeats. None where a class has no row: then
+    there is nothing to learn.
     """
     drawn = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg((F.avg(label) > 0.5).cast("int").alias("_good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = rows.groupBy("doc_id", "_good").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("doc_id", "one.text", "_good")
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, e, raw, offs in text_chunks(batch.column(1)):
+            for a, e, raw, offs in text_chunks(batch.column(1), AT_ONCE):
                 found = list(features(Texts(raw, offs)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), batch.column(2).slice(a, e - a), pa.array([p.tobytes() for p, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "good", "places", "values"])
 
-    got = rows.select("doc_id", "text", "_good").mapInArrow(tidied(extract), "doc_id long, good int, places binary, values binary").collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.places, r.values))[: 2 * most_rows]
+    got = rows.mapInArrow(tidied(extract), "doc_id long, good int, places binary, values binary").collect()
+    got = sorted(got, key=lambda r: r.doc_id)
     y = np.array([r.good for r in got], float)
     held = np.arange(len(y)) % 4 == 3
     if not len(y) or min(y[~held].sum(), (1 - y[~held]).sum()) < 1:

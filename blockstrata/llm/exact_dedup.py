@@ -341,8 +341,8 @@ def _removed(block: Block, shards: int, bits: dict[int, bytes], earlier: dict[in
     return np.cumsum(change)[:-1] > 0
 
 
-def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text: bool = False, block_bytes: int = BLOCK, shard_bytes: int = SHARD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of ``docs`` (doc_id, text), before them its ``keep`` columns; ``kept_text``, what stays without characters that were cut in part (null for null), if asked for. Smaller blocks and shards take less memory at a time and more rows in shuffles."""
+def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text: bool = False, block_bytes: int = BLOCK, shard_bytes: int = SHARD, left: list[Staged] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of ``docs`` (doc_id, text), before them its ``keep`` columns; ``kept_text``, what stays without characters that were cut in part (null for null), if asked for. Smaller blocks and shards take less memory at a time and more rows in shuffles. ``left`` gets the tables that the result reads."""
     spark = docs.sparkSession
     if not GRAM < length <= GRAM + 39:  # a segment's windows fit 40 bits
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 39}")
@@ -354,6 +354,8 @@ def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text:
     flagged = table.read().drop("rest").join(_collected(bits.read(), "bits"), "block", "left")
     earlier = Staged(_earlier(_sent(flagged.select("block", "ids", "offs", "raw", "bits"), length, shards), length, shards), "earlier")
     _release(spark)
+    if left is not None:
+        left += [table, bits, earlier]
     told = _collected(bits.read(), "bits").join(_collected(earlier.read(), "earlier"), "block", "full")
     both = table.read().join(told, "block", "left").select("block", "ids", "offs", "raw", "bits", "earlier", "rest")
     added = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text

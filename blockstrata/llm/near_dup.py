@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import Staged, grouped, small_batches, spread, text_chunks, tidied
+from blockstrata.llm._base import AT_ONCE, Staged, grouped, small_batches, spread, text_chunks, tidied
 from blockstrata.llm._words import U64, Texts, mix, runs
 from blockstrata.llm.components import components
 
@@ -98,7 +98,7 @@ def _signed(docs: DataFrame, words: int, hashes: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, e, raw, offs in text_chunks(batch.column(1)):
+            for a, e, raw, offs in text_chunks(batch.column(1), AT_ONCE):
                 values, at = shingle_sets(Texts(raw, offs, lower=True), words)
                 sums = []
                 for seed in (1, 2):
@@ -150,7 +150,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, e, raw, offs in text_chunks(batch.column(1)):
+            for a, e, raw, offs in text_chunks(batch.column(1), AT_ONCE):
                 values, at = shingle_sets(Texts(raw, offs, lower=True), words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), pa.array([np.sort(values[at[i] : at[i + 1]]).tobytes() for i in range(e - a)], pa.binary())], ["rep", "members"])
 
@@ -257,8 +257,8 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _blocked(members, sets, F.greatest(F.count("*") / BLOCK, F.sum("size") / WEIGHT)).mapInArrow(tidied(run), "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id), one row for each row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: list[Staged] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id), one row for each row of ``docs`` (doc_id, text). ``left`` gets the tables that the result reads."""
     bands = bands_for(percent)
     hashes = bands * BAND
     need = least_agreement(percent, hashes)
@@ -295,6 +295,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for t in (bucket, classes, perhaps, cluster, inside, sets, label):
         t.drop()
     label = components(links.read().unionByName(more.read()))
+    for t in (links, more):
+        t.drop()
+    if left is not None:
+        left += [signed, member, label]
     comp = member.read().groupBy("doc_id").agg(F.min("rep").alias("rep"))
     comp = comp.join(label.read().select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
     out = signed.read().select("doc_id", "n_shingles").join(comp, "doc_id", "left").withColumn("component_id", F.coalesce("comp", "doc_id"))

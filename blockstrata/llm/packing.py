@@ -10,7 +10,8 @@ Texts longer than the largest length are cut into pieces of that length and a re
 nothing is dropped. Pieces are dealt evenly to tasks of bounded size and packed there.
 
 Defined results: a null or negative length counts as 0 and its document takes no room but
-has a place; an empty table gives an empty result; repeated rows are packed each.
+has a place; an empty table gives an empty result; repeated rows are packed each; columns
+named like an output column are replaced, all others pass whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockstrata.llm._base import clashing, spread, tidied
+from blockstrata.llm._base import clashing, private, spread, tidied, with_text
 from blockstrata.llm.token_files import ChunkEncoder
 
 LENGTHS = (1024, 2048, 4096, 8192)
@@ -72,11 +73,12 @@ def pack_sequences(df: DataFrame, size: str, lengths: Sequence[int] = LENGTHS, o
     names = ("piece", "start", "n_tokens", "bin", "offset", "length", "used")
     most = max(lengths)
     whole = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0))
-    rows = clashing(df.withColumn("_whole", whole), *names)
-    own = [c for c in rows.columns if c != "_whole"]
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_whole") / most) - 1, F.lit(0)).cast("int"))))
-    pieces = pieces.withColumn("start", F.col("piece").cast("long") * most).withColumn("n_tokens", F.least(F.col("_whole") - F.col("start"), F.lit(most)).cast("long")).drop("_whole")
-    n = rows.agg(F.sum(F.greatest(F.ceil(F.col("_whole") / most), F.lit(1)))).first()[0] or 0
+    (total,) = private(df, "whole")
+    rows = clashing(df.withColumn(total, whole), *names)
+    own = [c for c in rows.columns if c != total]
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(total) / most) - 1, F.lit(0)).cast("int"))))
+    pieces = pieces.withColumn("start", F.col("piece").cast("long") * most).withColumn("n_tokens", F.least(F.col(total) - F.col("start"), F.lit(most)).cast("long")).drop(total)
+    n = rows.agg(F.sum(F.greatest(F.ceil(F.col(total) / most), F.lit(1)))).first()[0] or 0
     tasks = max(1, -(-n // AT_MOST), min(spread(df.sparkSession), -(-n // AT_LEAST)))
     schema = T.StructType([*pieces.schema, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("used", T.LongType())])
 
@@ -100,16 +102,16 @@ def pack_sequences(df: DataFrame, size: str, lengths: Sequence[int] = LENGTHS, o
     return pieces.select(*own, "piece", "start", "n_tokens").repartition(tasks).mapInArrow(tidied(run, keep_tables=True), schema)
 
 
-def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",), end: int = 1, table: int = 1_500_000, at_once: int = 2 << 20) -> DataFrame:
-    """``keep`` of ``docs`` and ``n_ids``: the tokenizer's ids of the whole text and ``end`` more; ``table`` chunks are remembered, ``at_once`` bytes worked on."""
+def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",), end: int = 1, table: int = 1_500_000, at_once: int = 2 << 20, keep_table: bool = True) -> DataFrame:
+    """``keep`` of ``docs`` and ``n_ids``: the tokenizer's ids of the whole text and ``end`` more; ``table`` chunks are remembered, from task to task or not, ``at_once`` bytes worked on."""
     kept = clashing(docs.select(*keep), "n_ids")
-    rows = docs.select(*kept.columns, F.col(text).alias("_text"))
     own = kept.columns
+    rows, place = with_text(docs, own, text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer, table)
         for batch in batches:
-            for a, e, _, at in encoder.chunks(batch.column(len(own)), at_once):
+            for a, e, _, at in encoder.chunks(batch.column(place), at_once):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, e - a) for i in range(len(own))), pa.array(np.diff(at) + end)], [*own, "n_ids"])
 
-    return rows.mapInArrow(tidied(run, keep_tables=True), T.StructType([*kept.schema, T.StructField("n_ids", T.LongType())]))
+    return rows.mapInArrow(tidied(run, keep_table), T.StructType([*kept.schema, T.StructField("n_ids", T.LongType())]))

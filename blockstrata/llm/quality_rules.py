@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from blockstrata.llm._base import clashing, text_chunks, tidied
+from blockstrata.llm._base import AT_ONCE, clashing, text_chunks, tidied, with_text
 from blockstrata.llm._ngrams import Model, sigmoid
 from blockstrata.llm._words import U64, Texts, mix, runs
 
@@ -77,11 +77,11 @@ def judge(docs: DataFrame, model: Model | None, keep: list[str] | None = None, t
     names = [name for name, _ in ADDED]
     passed = clashing(docs.select(*(keep if keep is not None else docs.columns)), *names)
     own = passed.columns
-    rows = docs.select(*own, docs[text].alias("_text"))
+    rows, at = with_text(docs, own, text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, e, raw, offs in text_chunks(batch.column(len(own))):
+            for a, e, raw, offs in text_chunks(batch.column(at), AT_ONCE):
                 t = Texts(raw, offs)
                 found = counts(t)
                 found["probability"] = sigmoid(model.logits(t)) if model is not None else np.ones(e - a)

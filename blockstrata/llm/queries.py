@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockstrata.llm import _ngrams, ann, chat, exact_dedup, near_dup, packing, pieces, quality_rules, sharding, site_quality, token_files
-from blockstrata.llm._base import Staged
+from blockstrata.llm._base import Staged, small_transfers
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,6 +22,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_transfers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
