@@ -13,10 +13,12 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blockstrata.sources import datasource
 from blockstrata.sources.framing import OVERHEAD, SYNC
 
 #: Torn blocks are looked for up to this size.
@@ -67,17 +69,65 @@ def parts(data: bytes, accept_zero: bool = False) -> list[Part]:
     return out
 
 
+#: The checksum's polynomial, lowest power in the highest bit.
+_POLYNOMIAL = np.uint32(0xEDB88320)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials over two elements, modulo the checksum's."""
+    a, b = np.broadcast_arrays(a, b)
+    out, b = np.zeros(a.shape, np.uint32), b.copy()
+    for bit in range(31, -1, -1):
+        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), _POLYNOMIAL, np.uint32(0))
+    return out
+
+
+def _powers(n: int) -> np.ndarray:
+    """By how much a checksum is multiplied when 0, 1, ... n bytes follow."""
+    out, byte = np.array([0x80000000], np.uint32), np.array([0x00800000], np.uint32)  # 1, and x to the eighth
+    while len(out) <= n:
+        out = np.concatenate([out, _times(out, byte)])
+        byte = _times(byte, byte)
+    return out[: n + 1]
+
+
+def _running(data: bytes) -> np.ndarray:
+    """Checksums of the first 0, 1, ... bytes."""
+    out, crc = np.zeros(len(data) + 1, np.uint32), 0
+    for i in range(len(data)):
+        out[i + 1] = crc = zlib.crc32(data[i : i + 1], crc)
+    return out
+
+
 def try_glue(left: bytes, right: bytes, size: int, offset: int = 0, mod: int = 0) -> int | None:
-    """Where ``left``'s start and ``right``'s end make a block of a size, or None; ``mod`` allows only splits at multiples of it in the file."""
+    """Where ``left``'s start and ``right``'s end make a block of a size, or None; ``mod`` allows only splits at multiples of it in the file.
+
+    The checksum of each join comes from those of the two pieces, so the work grows with the size, not with its square.
+    """
     if not OVERHEAD <= size <= MAX_GLUED:
         return None
-    for split in range(1, size):
-        if mod and (offset + split) % mod or split > len(left) or size - split > len(right):
-            continue
-        block = left[:split] + right[len(right) - (size - split) :]
-        head, group, sync = struct.unpack_from(">II4s", block)
-        crc, again = struct.unpack_from(">II", block, size - 8)
-        if head == size and sync == SYNC and again == size and crc == zlib.crc32(block[: size - 8]):
+    left, right = left[:size], right[-size:]
+    low, high = max(1, size - len(right)), min(size - 1, len(left))
+    if low > high:
+        return None
+    right = bytes(size - len(right)) + right  # at the places that it has in a block
+    frame = np.arange(low, high + 1)  # splits that keep the header's and the trailer's words right
+    for at, word in ((0, struct.pack(">I", size)), (8, SYNC), (size - 4, struct.pack(">I", size))):
+        for k in range(4):
+            mine, theirs = at + k < len(left) and left[at + k] == word[k], right[at + k] == word[k]
+            frame = frame[np.where(at + k < frame, mine, theirs)]
+    if mod:
+        frame = frame[(offset + frame) % mod == 0]
+    if not len(frame):
+        return None
+    body = size - 8
+    powers, one, two = _powers(body), _running(left[:body]), _running(right[:body])
+    cut = np.minimum(frame, body)
+    behind = two[body] ^ _times(powers[body - cut], two[cut])  # of the second piece alone
+    crc = _times(powers[body - cut], one[np.minimum(cut, len(one) - 1)]) ^ behind
+    for split, found in zip(frame.tolist(), crc.tolist(), strict=True):
+        if found == struct.unpack(">I", bytes((left if body + k < split else right)[body + k] for k in range(4)))[0]:
             return split
     return None
 
@@ -152,3 +202,55 @@ def part_json(blocks: DataFrame) -> DataFrame:
     """file, json: each file's parts as text."""
     rows = islands(blocks).groupBy("file", "part").agg(F.sort_array(F.collect_list(F.struct("offset", "size", "group"))).alias("blocks"))
     return rows.groupBy("file").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("part", "blocks"))).alias("parts"))).alias("json"))
+
+
+def glued(spark: SparkSession, path: str, mod: int = 0, partition_bytes: int = 64 << 20) -> DataFrame:
+    """file, left, right, size, split: blocks torn between two parts of each file of a folder, by part numbers.
+
+    Nothing is read but runs of bytes: blocks are found in splits, parts by their offsets, and only the bytes behind
+    and before a part, up to the largest block that may be torn, are read again. Parts whose size words differ never
+    meet. Neighbours count before others; then each part's end and start is used once, lowest numbers first.
+    """
+    read = datasource.read(spark, path, table="blocks", split="true", partition_bytes=partition_bytes)
+    whole = read.where("crc_ok AND crc <> 0").select("file", "offset", "size", "group")
+    order = Window.partitionBy("file").orderBy("part")
+    part = part_table(whole).withColumn("from", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("to", F.lead("offset").over(order))
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                with open(r["file"], "rb") as f:
+                    end = r["to"] if r["to"] is not None else f.seek(0, 2)
+                    f.seek(r["end"])
+                    behind = f.read(min(4, end - r["end"]))
+                    f.seek(max(r["from"], r["offset"] - 4))
+                    before = f.read(min(4, r["offset"] - r["from"]))
+                size = lambda word: int.from_bytes(word, "big") if len(word) == 4 and OVERHEAD <= int.from_bytes(word, "big") <= MAX_GLUED else None
+                out.append((r["file"], r["part"], r["offset"], r["end"], r["from"], end, size(behind), size(before)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.string(), *[pa.int64()] * 7], strict=True)], ["file", "part", "offset", "end", "from", "to", "behind", "before"])
+
+    ends = part.select("file", "part", "offset", "end", "from", "to").mapInArrow(words, "file string, part long, offset long, end long, from long, to long, behind long, before long")
+    left = ends.where("behind IS NOT NULL").select("file", F.col("behind").alias("size"), F.col("part").alias("left"), "end", "to")
+    right = ends.where("before IS NOT NULL").select("file", F.col("before").alias("size"), F.col("part").alias("right"), "from", F.col("offset").alias("until"))
+    pairs = left.join(right, ["file", "size"]).where("left <> right").select("file", "size", "left", "right", "end", "to", "from", "until")
+
+    def attempt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                with open(r["file"], "rb") as f:
+                    f.seek(r["end"])
+                    one = f.read(min(r["size"], r["to"] - r["end"]))
+                    f.seek(max(r["from"], r["until"] - r["size"]))
+                    two = f.read(r["until"] - f.tell())
+                if (split := try_glue(one, two, r["size"], r["end"], mod)) is not None:
+                    out.append((r["file"], r["left"], r["right"], r["size"], split))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.string(), *[pa.int64()] * 4], strict=True)], ["file", "left", "right", "size", "split"])
+
+    fits = pairs.mapInArrow(attempt, "file string, left long, right long, size long, split long")
+    near = F.when(F.col("right") == F.col("left") + 1, 0).otherwise(1)
+    first = lambda side, other: F.row_number().over(Window.partitionBy("file", side).orderBy(near, other))
+    return fits.withColumn("_l", first("left", "right")).withColumn("_r", first("right", "left")).where("_l = 1 AND _r = 1").drop("_l", "_r")
