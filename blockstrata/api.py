@@ -77,14 +77,22 @@ class File:
         return decode_blocks(blocks.where(blocks["group"] == group), program, columns)
 
     def lower_bound(self, channel: int, dim: int, x: float) -> tuple[int, int] | None:
-        """(block, scan) of the first row at or above x."""
-        found = _rows.lower_bound(self.read(channel), f"dim{dim}", x).first()
-        return tuple(found) if found else None
+        """(block, scan) of the first row at or above x; the dimension must not fall. About log2 of the blocks are read, here and now."""
+        return self._bound(channel, dim, x, False)
 
     def upper_bound(self, channel: int, dim: int, x: float) -> tuple[int, int] | None:
-        """(block, scan) of the last row at or below x."""
-        found = _rows.upper_bound(self.read(channel), f"dim{dim}", x).first()
-        return tuple(found) if found else None
+        """(block, scan) of the last row at or below x; the dimension must not fall. About log2 of the blocks are read, here and now."""
+        return self._bound(channel, dim, x, True)
+
+    def _bound(self, channel: int, dim: int, x: float, upper: bool) -> tuple[int, int] | None:
+        c = self.channel(channel)
+        at = [d for d in c.dims if d.index == dim]
+        t = at[0].transform if at else None
+        if t is not None and (t.kind == "index" or t.kind == "linear" and t.scale <= 0):  # needs another channel, or falls
+            found = (_rows.upper_bound if upper else _rows.lower_bound)(self.read(channel), f"dim{dim}", x).first()
+            return tuple(found) if found else None
+        with Recording(self.path, mode=self.mode) as recording:
+            return recording.bound(recording.catalog.channel(channel), dim, x, upper, t.of if t is not None else float)
 
     def histogram(self, channel: int) -> _histogram.Histogram:
         return _histogram.histogram(self.read(channel))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockstrata.errors import InvalidData
-from blockstrata.operators.rows import dims_of, ordinal
+from blockstrata.operators.rows import block_counts, dims_of, ordinal
 
 
 def bucket_width(rows: int, ideal: int) -> int:
@@ -26,12 +26,19 @@ def bucket_width(rows: int, ideal: int) -> int:
 def crush(rows: DataFrame, ideal: int, total: int | None = None, row: str | None = None) -> DataFrame:
     """bucket, then min and max of each dimension (out0, out1 for dim0 and so on), n. NaN counts only where a bucket has nothing else.
 
-    ``row`` names a column that numbers the rows from 0 already; else they are numbered by block and scan.
+    ``row`` names a column that numbers the rows from 0 already; else they are numbered by block and scan,
+    for which the rows of each block are counted once and the counts (a row a block) kept: two passes over the data in all.
     """
     dims = dims_of(rows)
     if any(isinstance(rows.schema[d].dataType, T.BinaryType) for d in dims):
         raise InvalidData("binary dimensions cannot be crushed")
-    numbered = rows if row else ordinal(rows)
+    if row:
+        numbered = rows
+    else:
+        counts = block_counts(rows)
+        counts = counts.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else counts.persist()
+        numbered = ordinal(rows, counts)
+        total = counts.agg(F.sum("n")).first()[0] or 0 if total is None else total
     width = bucket_width(rows.count() if total is None else total, ideal)
     plain = lambda d: F.when(~F.isnan(d), F.col(d))
     out = []

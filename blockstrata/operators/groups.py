@@ -1,8 +1,8 @@
-"""Groups of blocks: totals, sizes of what will be written, layout of framed blocks, and tables of metadata."""
+"""Groups of blocks: totals, sizes of what will be written and tables of metadata."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockstrata.sources.framing import OVERHEAD
@@ -19,14 +19,6 @@ def highest_group(blocks: DataFrame) -> int:
     return blocks.agg(F.max("group")).first()[0] or 0
 
 
-def layout(blocks: DataFrame, order: str, partition: str | None = None) -> DataFrame:
-    """Blocks with ``size`` and ``offset``, as one file has them in that order, or one a value of ``partition``."""
-    size = F.octet_length("payload") + OVERHEAD
-    before = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sized = blocks.withColumn("size", size.cast("long"))
-    return sized.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
-
-
 def written_size(blocks: DataFrame, index: bool = True) -> DataFrame:
     """One row: blocks, payload bytes, and the bytes of a file that holds them, with index blocks if asked for."""
     size = F.octet_length("payload") if "payload" in blocks.columns else F.col("payload_size")

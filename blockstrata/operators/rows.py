@@ -1,8 +1,9 @@
 """Operators on a channel's rows: projection, transforms, position, limits, bounds, comparison.
 
 Rows have ``block`` and ``scan``, which together are their order, and dimensions dim0, dim1
-and so on. Everything is a projection, a filter or one aggregation, so filters and columns
-reach the scan and no row order is relied on after a shuffle.
+and so on. Everything is a projection, a filter or one aggregation, and no row order is relied
+on after a shuffle. Filters on rows work behind the decoder; to read fewer blocks or dimensions, say so
+to the data source (``from_block``, ``to_block``, ``dims``) or filter the blocks before they are decoded (``reaching``).
 """
 
 from __future__ import annotations
@@ -105,7 +106,8 @@ def seek(rows: DataFrame, block: int) -> DataFrame:
 
 
 def num_blocks(rows: DataFrame) -> int:
-    return (rows.agg(F.max("block")).first()[0] or -1) + 1
+    last = rows.agg(F.max("block")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def position(tell: int, size: int, to: int | None = None, by: int | None = None) -> int:
@@ -116,11 +118,27 @@ def position(tell: int, size: int, to: int | None = None, by: int | None = None)
     return target
 
 
-def ordinal(rows: DataFrame) -> DataFrame:
-    """Rows with ``row``, their number from 0. Blocks are counted, not rows sorted: one row a block reaches a single task."""
-    counts = rows.groupBy("block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+#: Blocks whose counts one task adds up; one row for so many goes on.
+_STRETCH = 1 << 14
+
+
+def block_counts(rows: DataFrame) -> DataFrame:
+    """(block, n): rows of each block."""
+    return rows.groupBy("block").agg(F.count("*").alias("n"))
+
+
+def block_starts(counts: DataFrame) -> DataFrame:
+    """(block, before): how many rows come before each block, by sums of stretches of blocks and sums inside them."""
+    stretch = F.floor(F.col("block") / _STRETCH)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    long = counts.groupBy(stretch.alias("stretch")).agg(F.sum("n").alias("n")).select("stretch", before(Window.orderBy("stretch")).alias("first"))
+    inside = counts.select("block", stretch.alias("stretch"), before(Window.partitionBy(stretch).orderBy("block")).alias("inside"))
+    return inside.join(long, "stretch").select("block", (F.col("first") + F.col("inside")).alias("before"))
+
+
+def ordinal(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Rows with ``row``, their number from 0. Blocks are counted, not rows sorted; ``counts`` (block, n) spares the counting."""
+    starts = block_starts(block_counts(rows) if counts is None else counts).withColumnRenamed("before", "_before")
     inside = Window.partitionBy("block").orderBy("scan")
     return rows.join(starts, "block").withColumn("row", F.col("_before") + F.row_number().over(inside) - 1).drop("_before")
 
@@ -161,6 +179,11 @@ def zones(rows: DataFrame, dim: str) -> DataFrame:
     return rows.groupBy("block").agg(F.min(dim).alias("low"), F.max(dim).alias("high"), F.count("*").alias("rows"))
 
 
+def reaching(blocks: DataFrame, zone: DataFrame, low: float, high: float) -> DataFrame:
+    """Blocks that reach into a range, by what is stored or known of each (block, low, high), before any is decoded."""
+    return blocks.join(zone.where((F.col("high") >= low) & (F.col("low") <= high)).select("block"), "block", "left_semi")
+
+
 def between(rows: DataFrame, dim: str, low: float, high: float, zone: DataFrame | None = None) -> DataFrame:
     """Rows in a range; with zones, only of blocks that reach into it."""
     if zone is not None:

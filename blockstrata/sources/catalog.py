@@ -132,6 +132,15 @@ class Transform:
     index_channel: int | None = None
     index_dim: int | None = None
 
+    def of(self, x: float) -> float:
+        """One number transformed; none and index leave it."""
+        if self.kind == "linear":
+            return x * self.scale + self.offset
+        if self.kind == "map" and x == x:
+            at = int(max(0.0, min(x, len(self.table))))
+            return self.table[at] if at < len(self.table) else x
+        return x
+
 
 @dataclass
 class Dimension:

@@ -2,9 +2,12 @@
 
 Read options: ``path`` (a file, a folder or a pattern), ``table`` (blocks, samples, index,
 tests, channels, dims, tags or decoders), ``channel`` and ``dims`` for samples, ``mode``
-(catalog), ``verify`` (checksums), ``partition_bytes``, ``split``. The driver reads headers
+(catalog), ``verify`` (checksums), ``partition_bytes``, ``split``, ``group`` (one or more, by
+commas), ``from_block`` and ``to_block`` (by number in the group, both included). The driver reads headers
 and metadata; a partition is a run of blocks of about ``partition_bytes``, read where it runs,
-and only the groups that a filter or channel asks for. With ``split`` set to true the driver
+and only the groups and blocks that the options ask for; it carries the program, so tasks read no metadata.
+What is to be read is said by options and not by pushed filters, for Spark keeps what a Python source has
+pruned with the relation: a frame filtered once would stay pruned in all its later uses. With ``split`` set to true the driver
 looks at file sizes alone: a partition is a range of bytes, which finds its first block by
 itself and owns the blocks that begin in it; blocks then have offsets but no numbers. Writing takes (group, payload) rows,
 one file a task, each with its index, whole or not at all. Streaming follows the files of a
@@ -16,6 +19,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,13 +27,13 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from blockstrata.errors import InvalidBlock, InvalidData
 from blockstrata.sources.catalog import Catalog, Channel
 from blockstrata.sources.decoding import Decoder, decoded, sample_schema
-from blockstrata.sources.framing import OVERHEAD, SYNC, Block, BlockFile, resync
+from blockstrata.sources.framing import OVERHEAD, SYNC, Block, BlockFile, BlockFileView
 from blockstrata.sources.recording import Recording
 from blockstrata.sources.writer import Writer
 
@@ -57,11 +61,11 @@ def files_of(path: str) -> list[str]:
 
 @dataclass
 class Run(InputPartition):
-    """Blocks of a file: (number in the file, offset, number in the group)."""
+    """Blocks of a file: (number in the file, offset, number in the group); for samples what they are decoded by."""
 
-    def __init__(self, file: str, blocks: list[tuple[int, int, int]]) -> None:
+    def __init__(self, file: str, blocks: list[tuple[int, int, int]], binding: tuple[Any, list[int | None], list[int]] | None = None) -> None:
         super().__init__((file, blocks))
-        self.file, self.blocks = file, blocks
+        self.file, self.blocks, self.binding = file, blocks, binding
 
 
 class Range(InputPartition):
@@ -139,16 +143,11 @@ class Reader(DataSourceReader):
     def __init__(self, source: Recordings, schema: StructType) -> None:
         self.source, self.schema_ = source, schema
         self.options, self.table, self.mode = dict(source.options), source.table, source.mode
-        self.groups: set[int] | None = {int(self.options["group"])} if "group" in self.options else None
+        self.groups: set[int] | None = {int(g) for g in self.options["group"].split(",")} if "group" in self.options else None
+        self.first, self.last = int(self.options.get("from_block", 0)), int(self.options["to_block"]) if "to_block" in self.options else None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Filters on the group decide which blocks are read at all."""
-        for f in filters:
-            if self.table in ("blocks", "index") and isinstance(f, EqualTo | In) and f.attribute == ("group",):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.groups = wanted if self.groups is None else self.groups & wanted
-            else:
-                yield f
+    def _wanted(self, nth: int) -> bool:
+        return nth >= self.first and (self.last is None or nth <= self.last)
 
     def partitions(self) -> list[InputPartition]:
         most = int(self.options.get("partition_bytes", 64 << 20))
@@ -162,23 +161,28 @@ class Reader(DataSourceReader):
                 out += [Range(file, low, min(size, low + most)) for low in range(0, size, most)]
                 continue
             with Recording(file, mode=self.mode) as recording:
-                groups = {recording.catalog.binding(self.source._channel(recording))[0]} if self.table == "samples" else self.groups
+                groups, binding = self.groups, None
+                if self.table == "samples":
+                    group, *binding = self.source._columns(recording)
+                    groups = {group}
                 count: dict[int, int] = {}
                 run, size = [], 0
                 for seq, e in enumerate(recording.entries):
                     nth = count[e.group] = count.get(e.group, -1) + 1
-                    if groups is not None and e.group not in groups:
+                    if groups is not None and e.group not in groups or not self._wanted(nth):
                         continue
                     run.append((seq, e.offset, nth))
                     size += e.size
                     if size >= most:
-                        out.append(Run(file, run))
+                        out.append(Run(file, run, binding))
                         run, size = [], 0
                 if run:
-                    out.append(Run(file, run))
+                    out.append(Run(file, run, binding))
         return out
 
     def read(self, partition: Run | Range) -> Iterator[pa.RecordBatch] | Iterator[tuple]:
+        if partition is None:  # what Spark hands over where there is nothing to read
+            return
         if isinstance(partition, Range):
             with open(partition.file, "rb") as f:
                 for b in blocks_in(BlockFile(f), partition.low, partition.high):
@@ -198,11 +202,12 @@ class Reader(DataSourceReader):
                 yield from (tuple(r) for r in self._metadata(recording, partition.file))
 
     def _samples(self, partition: Run) -> Iterator[pa.RecordBatch]:
-        with Recording(partition.file, mode=self.mode) as recording:
-            _, program, columns, keep = self.source._columns(recording)
-            decoder = Decoder(program)
+        program, columns, keep = partition.binding
+        decoder = Decoder(program)
+        with open(partition.file, "rb") as f:
+            file = BlockFile(f)
             for _, offset, nth in partition.blocks:
-                rows = decoded(decoder, columns, nth, recording.file.read_at(offset).payload)
+                rows = decoded(decoder, columns, nth, file.read_at(offset).payload)
                 if rows is not None:
                     yield rows.select(["block", "scan", *(f"dim{i}" for i in keep)])
 
@@ -273,11 +278,12 @@ class FileWriter(DataSourceWriter):
         return Written(name if some else None)
 
     def commit(self, messages: list[Written]) -> None:
-        if self.overwrite:
-            for old in files_of(self.path) if os.path.isdir(self.path) else []:
-                os.remove(old)
+        """New files appear first; then, to overwrite, those that earlier jobs of this writer left go, and no others."""
+        old = [p for p in glob.glob(os.path.join(self.path, "part-*.rec")) if re.fullmatch(r"part-\d{5,}-[0-9a-f]{32}\.rec", os.path.basename(p))] if self.overwrite else []
         for n, m in enumerate(x for x in messages if x and x.temporary):
             os.replace(m.temporary, os.path.join(self.path, f"part-{n:05d}-{self.job}.rec"))
+        for p in old:
+            os.remove(p)
 
     def abort(self, messages: list[Written]) -> None:
         for m in messages:
@@ -285,56 +291,78 @@ class FileWriter(DataSourceWriter):
                 os.remove(m.temporary)
 
 
+def whole_until(file: BlockFile, start: int, stops: list[int] | None = None, step: int = 1 << 20, stretch: int = 64 << 20) -> int:
+    """Where the last whole block behind ``start`` ends, past damage; a block that may still grow is waited for.
+
+    Only headers and trailers are read, and what lies between damage and the next sync word. ``stops`` gets block
+    boundaries about ``stretch`` bytes apart.
+    """
+    at = end = start
+    while at + OVERHEAD <= file.size:
+        try:
+            entry = file.entry_at(at)
+        except InvalidBlock:
+            file.file.seek(at)
+            head = file.file.read(12)
+            if at == end and head[8:] == SYNC and int.from_bytes(head[:4], "big") >= OVERHEAD and at + int.from_bytes(head[:4], "big") > file.size:
+                break
+            file.file.seek(at + 9)
+            found = file.file.read(step).find(SYNC)
+            at = at + 1 + found if found >= 0 else at + max(1, step - 3)
+            continue
+        at = end = entry.offset + entry.size
+        if stops is not None and end - (stops[-1] if stops else start) >= stretch:
+            stops.append(end)
+    return end
+
+
 class Tail(DataSourceStreamReader):
-    """New whole blocks of the files of a folder; the offset has, for each file, how far it has been read."""
+    """New whole blocks of the files of a folder; the offset has, for each file, the end of the last whole block.
+
+    Headers behind that end are walked once a batch, not the file from its start; after a restart the walk begins
+    where the checkpoint says, as soon as a batch has been planned.
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path
+        self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        sizes = {}
-        for file in files_of(self.path):
-            with open(file, "rb") as f:
-                size = f.seek(0, 2)
-            sizes[file] = size
-        return {"files": json.dumps(sizes)}
+        for name in files_of(self.path):
+            with open(name, "rb") as f:
+                self.known[name] = whole_until(BlockFile(f), self.known.get(name, 0))
+        return {"files": json.dumps(self.known)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        return [InputPartition((file, before.get(file, 0), size)) for file, size in after.items() if size > before.get(file, 0)]
+        out = []
+        for name, high in after.items():
+            low, stops = before.get(name, 0), []
+            self.known[name] = max(self.known.get(name, 0), high)
+            if high > low:
+                with open(name, "rb") as f:
+                    whole_until(BlockFileView(BlockFile(f), high), low, stops)
+                edges = [low, *(s for s in stops if s < high), high]
+                out += [InputPartition((name, a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """Blocks that end in (from, to]; a block that began before is found by going back to the last one's end."""
-        file, low, high = partition.value
-        with open(file, "rb") as f:
-            source = BlockFile(f)
-            start = self._resume(source, low)
-            f.seek(start)
-            data = f.read(high - start)
-        for b in resync(data, 0, len(data), final=False)[0]:
-            if b.offset + start + b.size > low:
-                yield file, None, b.offset + start, b.size, b.group, None, len(b.payload), b.payload, b.crc, b.crc_ok
-
-    @staticmethod
-    def _resume(source: BlockFile, low: int) -> int:
-        at = 0
-        for e in source.forward():
-            if e.offset + e.size > low:
-                break
-            at = e.offset + e.size
-        return at if at else 0
+        """Blocks that begin in [from, to), which are whole."""
+        name, low, high = partition.value
+        with open(name, "rb") as f:
+            for b in blocks_in(BlockFileView(BlockFile(f), high), low, high):
+                yield name, None, b.offset, b.size, b.group, None, len(b.payload), b.payload, b.crc, b.crc_ok
 
     def commit(self, end: dict) -> None:
         pass
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``recording`` known to a session, and let filters reach Python sources, which Spark leaves off unless told."""
+    """Make ``recording`` known to a session."""
     spark.dataSource.register(Recordings)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read(spark: SparkSession, path: str, **options: Any) -> DataFrame:

@@ -45,12 +45,12 @@ class Block(NamedTuple):
     size: int = 0
 
 
-def encode(group: int, payload: bytes, legacy: bool = False, checksum: bool = True) -> bytes:
-    """A block's bytes."""
+def encode(group: int, payload: bytes, legacy: bool = False, checksum: bool = True, crc: int | None = None) -> bytes:
+    """A block's bytes; ``crc`` stands in the trailer as it is, right or wrong, if given."""
     if legacy:
         return _HEAD.pack(len(payload), group, SYNC) + payload + struct.pack(">I4s", zlib.crc32(payload) if checksum else 0, SYNC)
     body = _HEAD.pack(len(payload) + OVERHEAD, group, SYNC) + payload
-    return body + _TAIL.pack(zlib.crc32(body) if checksum else 0, len(payload) + OVERHEAD)
+    return body + _TAIL.pack(crc if crc is not None else zlib.crc32(body) if checksum else 0, len(payload) + OVERHEAD)
 
 
 def decode(data: bytes, at: int = 0, verify: bool = False) -> Block:

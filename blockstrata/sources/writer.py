@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import BinaryIO
 
 from blockstrata.sources.framing import INDEX_GROUP, OVERHEAD, XML_GROUP, Block, StreamParser, encode, index_payload
 from blockstrata.sources.xml import Node
@@ -17,7 +18,6 @@ SYNC_TEXT = "0x51EDA7A0"
 def header(namespace: str | None = None) -> str:
     """The preamble that describes the format in its own terms; readers that ask for a namespace get it here."""
     sie = Node("sie", {"version": "1.0"} | ({"xmlns": namespace} if namespace else {}))
-    sie.append(Node(kind="comment", text="!-- SIE format standard definitions: --"))
     read = lambda var, **a: Node("read", {"var": var, **a})
     word = {"bits": "32", "type": "uint", "endian": "big"}
     stream = sie.append(Node("decoder", {"id": "0"})).append(Node("loop"))
@@ -102,10 +102,10 @@ def index_bytes(blocks: int) -> int:
 
 
 class FileStream:
-    """Bytes come in chunks cut anywhere; whole blocks go to a file, and are counted by group."""
+    """Bytes come in chunks cut anywhere; whole blocks go to a file as they came, checksums right or wrong, and are counted by group."""
 
-    def __init__(self, path: str, on_xml: Callable[[str], object] | None = None, legacy: bool = False) -> None:
-        self.file = open(path, "wb+")  # noqa: SIM115
+    def __init__(self, path: str | None = None, on_xml: Callable[[str], object] | None = None, legacy: bool = False, file: BinaryIO | None = None) -> None:
+        self.file = file if file is not None else open(path, "wb+")  # noqa: SIM115
         self.parser, self.on_xml = StreamParser(legacy), on_xml
         self.groups: dict[int, list[tuple[int, int]]] = {}
         self.closed: set[int] = set()
@@ -118,7 +118,7 @@ class FileStream:
         return len(data)
 
     def _write(self, block: Block) -> None:
-        data = encode(block.group, block.payload, checksum=block.crc != 0)
+        data = encode(block.group, block.payload, crc=block.crc)
         self.file.write(data)
         self.groups.setdefault(block.group, []).append((self.size, len(block.payload)))
         self.size += len(data)

@@ -17,7 +17,7 @@ from blockstrata.sources import datasource
 from blockstrata.sources.decoding import frame, unframe
 from blockstrata.sources.framing import encode
 from blockstrata.sources.recording import Recording
-from blockstrata.sources.writer import Writer
+from blockstrata.sources.writer import FileStream, Writer
 from blockstrata.sources.xml import parse
 from blockstrata.streaming import ingest
 
@@ -95,8 +95,12 @@ def test_reader_reads_what_it_must(spark, path):
     blocks = datasource.read(spark, path, partition_bytes=20_000)
     assert blocks.rdd.getNumPartitions() > 4 and blocks.count() == N + 9 + 1 + 2 + 1 + 1
     assert datasource.read(spark, path, group=9).count() == 2
-    narrow = datasource.read(spark, path, partition_bytes=20_000).where("group = 9")
+    narrow = datasource.read(spark, path, partition_bytes=20_000, group=9)
     assert [r.block for r in narrow.orderBy("offset").collect()] == [0, 1] and narrow.rdd.getNumPartitions() == 1
+    assert blocks.where("group = 9").count() == 2 and blocks.where("group = 4").count() == N and blocks.count() > N  # a frame used again is whole
+    some = datasource.read(spark, path, channel=1, from_block=80, partition_bytes=1000)
+    assert some.rdd.getNumPartitions() == 2 and sorted({r.block for r in some.collect()}) == [80, 81]
+    assert datasource.read(spark, path, channel=1, from_block=3, to_block=3).count() == ROWS
     assert datasource.read(spark, path, table="index", group=4).agg(F.sum("payload_size")).first()[0] == N * (8 + 4 * ROWS)
     assert datasource.read(spark, path, channel=1, dims="1").columns == ["block", "scan", "dim1"]
     assert api.open_file(spark, path).decode(1, blocks).count() == N * ROWS
@@ -117,6 +121,80 @@ def test_splits_own_what_begins_in_them(spark, path, tmp_path, size):
         assert ranges == [b.offset for b in datasource.blocks_in(file, 0, file.size)] and len(ranges) > 10
 
 
+def test_bounds_read_few_blocks(path, monkeypatch):
+    with Recording(path) as r:
+        read, channel = [], r.catalog.channel(1)
+        payload = r.payload
+        monkeypatch.setattr(r, "payload", lambda e, *a: read.append(e.offset) or payload(e, *a))
+        for upper in (False, True):
+            read.clear()
+            assert r.bound(channel, 0, 3205.5, upper) == (10, 5 if upper else 6)
+            assert len(read) <= 9  # of 82
+        with pytest.raises(InvalidData):
+            r.bound(channel, 7, 1.0, False)
+
+
+def test_one_block_is_one(spark):
+    one = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "block long, scan long, dim0 double")
+    assert rows.num_blocks(one) == 1 and rows.num_blocks(one.limit(0)) == 0
+    many = spark.range(50_000).selectExpr("id * 7 AS block", "0L AS scan", "double(id) AS dim0")
+    assert rows.ordinal(many).where("row <> dim0").count() == 0  # over several stretches of blocks
+
+
+def test_a_stream_keeps_the_bytes_that_came(tmp_path):
+    sent = encode(4, b"one", crc=99) + encode(4, b"two") + encode(4, b"three", checksum=False)
+    stream = FileStream(str(tmp_path / "s"))
+    for i in range(0, len(sent), 7):
+        stream.add(sent[i : i + 7])
+    stream.close()
+    assert (tmp_path / "s").read_bytes() == sent
+
+
+def test_overwriting_leaves_what_others_put_there(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    (folder / "notes.txt").write_text("mine")
+    (folder / "sub").mkdir()
+    (folder / "sub" / "part-00000-x.rec").write_bytes(encode(3, b"theirs"))
+    datasource.register(spark)
+    for k in range(2):
+        df = spark.createDataFrame([(5, f"block {k}".encode())], "group long, payload binary").coalesce(1)
+        df.write.format("recording").option("path", str(folder)).mode("overwrite").save()
+    assert (folder / "notes.txt").read_text() == "mine" and (folder / "sub" / "part-00000-x.rec").exists()
+    (only,) = folder.glob("part-*.rec")
+    with open(only, "rb") as f:
+        assert datasource.BlockFile(f).read_at(0).payload == b"block 1"
+
+
+def test_tail_passes_damage_and_waits_for_the_rest(tmp_path):
+    good, more = encode(2, b"a" * 30), encode(2, b"b" * 40)
+    broken = bytearray(encode(2, b"c" * 20))
+    broken[0:4] = b"\x00\x00\x00\x30"  # a wrong size
+    name, tail = str(tmp_path / "g.rec"), datasource.Tail(str(tmp_path))
+    seen, at = [], tail.initialOffset()
+    for piece in (good, bytes(broken) + more[:10], more[10:], good + good[:5], good[5:]):
+        with open(name, "ab") as f:
+            f.write(piece)
+        end = tail.latestOffset()
+        seen.append([len(r[7]) for p in tail.partitions(at, end) for r in tail.read(p)])
+        at = end
+    assert seen == [[30], [], [40], [30], [30]]
+
+
+def test_gluing_over_files(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    blocks = [encode(3, draw.integers(0, 256, n, dtype=np.uint8).tobytes()) for n in (30, 41, 52, 63, 74)]
+    torn = blocks[0] + blocks[1][:20] + b"junk" + blocks[2] + blocks[1][20:] + blocks[3][:17] + blocks[4]
+    (tmp_path / "a.rec").write_bytes(blocks[0] + blocks[1][:25] + b"??" + blocks[1][25:] + blocks[2])
+    (tmp_path / "b.rec").write_bytes(torn)
+    (tmp_path / "c.rec").write_bytes(blocks[4] + blocks[0][:15] + b"x" + blocks[2] + b"yy" + blocks[3] + b"z" + blocks[0][15:] + blocks[1])
+    for size in (1000, 50):
+        got = sorted((os.path.basename(r.file), r.left, r.right, r.size, r.split) for r in recover.glued(spark, str(tmp_path), partition_bytes=size).collect())
+        assert got[0] == ("a.rec", 0, 1, 61, 25)
+        want = [(g.left, g.right, g.size, g.split) for g in recover.recover((tmp_path / "c.rec").read_bytes()).glued]
+        assert [g[1:] for g in got if g[0] == "c.rec"] == want and len(want) == 1
+
+
 def test_export(spark, path, tmp_path):
     api.open_file(spark, path).export(2, str(tmp_path / "t"), 3)
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect())[2] == "20.000\t000102030405\t"
