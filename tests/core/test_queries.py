@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from blockstrata.plans import queries
+from blockstrata.plans import file_queries as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
