@@ -7,14 +7,19 @@ the rest. Codes are found by coordinate descent over subspaces, centres by the
 normal equations of the same loss. A scan sums, for each row, one table entry for each
 pair of codes; the best rows of a block are scored again on the original vectors.
 
-Vectors lie in packed blocks. Queries are the rows whose id is divisible by ``every``;
-each block's queries meet each block of rows, and each meeting is a task of fixed size
-that returns the best of every query, so memory does not follow the input.
+Equal vectors are one class, which stands for its smallest ids: more of them than are asked
+for can never be found, so nothing is lost. Classes lie in parts around coarse centres, as
+many as the input needs, and parts in blocks of bounded size. A query goes to the parts whose
+centres score best; how many, is measured when the index is built: as many as hold nearly
+all true neighbours of queries drawn from the sample, all parts if it takes all. What is
+shuffled, scanned and held therefore grows with the rows and not with their pairs, and a
+part that is larger than others is only more blocks.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null
 or non-finite component take no part, nor do null ids; rows equal in id and vector count
 once, others of one id are rows of their own, each asked and found; a row does not find
-itself; ranks count from 1 for each row that asks; ties go to the smaller id; an empty table gives an empty result.
+itself; ranks count from 1 for each row that asks; ties go to the smaller id; where there are
+fewer candidates than asked for all are found; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import Staged, grouped, small_batches, tidied
+from blockstrata.llm._base import Staged, grouped, small_batches, spread, tidied
 
 SUB, CENTRES = 2, 16
-#: Vectors on which centres are fitted, drawn by a hash of the id.
-SAMPLE = 8192
-BLOCK = 16384
+#: Vectors on which centres are fitted and probes measured, drawn by a hash: so many at least, and for many parts so many each, up to a bound.
+SAMPLE, SAMPLE_EACH, MOST_SAMPLE = 8192, 16, 65536
+#: Rows of a block, and parts at most; a part is made for half a block of rows.
+BLOCK, MOST_PARTS = 4096, 4096
+#: The share of true neighbours in a sample that the probed parts must hold.
+COVERED = 0.985
+#: Queries that meet a block at once.
+ASKED = 1024
 
 
 def _parts(x: np.ndarray) -> np.ndarray:
@@ -98,42 +108,122 @@ class Codebook:
         return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), one.shape[1] // 2, 256).astype(np.float32)
 
 
+@dataclass
+class Coarse:
+    """Part centres, how many parts a query goes to, and the blocks of each part: ``first`` to ``first`` + ``blocks``."""
+
+    centres: np.ndarray
+    probes: int = 1
+    rows: np.ndarray | None = None
+    first: np.ndarray | None = None
+    blocks: np.ndarray | None = None
+
+    @staticmethod
+    def fit(x: np.ndarray, parts: int, most: int, rounds: int = 8, queries: int = 256) -> Coarse:
+        """Centres by k-means on a sample, and the probes that its own neighbours take."""
+        draw = np.random.default_rng(9)
+        out = Coarse(x[np.sort(draw.choice(len(x), min(parts, len(x)), replace=False))].copy())
+        for _ in range(rounds):
+            part = out.nearest(x)
+            sums, n = np.zeros_like(out.centres), np.bincount(part, minlength=len(out.centres))
+            np.add.at(sums, part, x)
+            out.centres[n > 0] = sums[n > 0] / n[n > 0, None]
+        part, asked = out.nearest(x), draw.choice(len(x), min(queries, len(x)), replace=False)
+        scores = x[asked] @ x.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        near = np.argsort(-scores, axis=1)[:, : min(most, max(1, len(x) - 1))]
+        place = np.argsort(np.argsort(-(x[asked] @ out.centres.T), axis=1), axis=1)
+        needed = np.sort(np.take_along_axis(place, part[near], axis=1).ravel())
+        out.probes = int(needed[min(len(needed) - 1, int(np.ceil(COVERED * len(needed))))]) + 1
+        return out
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        half = (self.centres**2).sum(1) / 2
+        return np.concatenate([(x[i : i + 4096] @ self.centres.T - half).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+    def probed(self, q: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block) of every block that a query meets: those of its ``probes`` best parts, and of more until they have ``least`` rows."""
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        row, at = np.nonzero((np.arange(order.shape[1]) < self.probes) | (before < least))
+        part = order[row, at]
+        n = self.blocks[part]
+        return np.repeat(row, n), np.repeat(self.first[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 @dataclass
 class Index:
-    blocks: Staged  # block, ids, codes, vectors
+    asking: Staged  # c1, c2 (the class), id: every row
+    classes: Staged  # c1, c2, v
+    blocks: Staged  # block, names (16 bytes a class), counts, ids, codes, vectors
     count: int
     dims: int
     dtype: str
     book: Codebook | None
+    coarse: Coarse | None
+    most: int
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, dims).astype(float)
+
 
+def _drawn(classes: DataFrame, sample: int) -> np.ndarray:
+    return np.array([r.v for r in classes.orderBy("c1", "c2").limit(sample).select("v").collect()], float)
 
-def build(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, block: int = BLOCK) -> Index:
-    """An index of every valid row."""
+
+def build(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, block: int = BLOCK, most: int = 20) -> Index:
+    """An index of every valid row, from which up to ``most`` neighbours can be asked for."""
+    spark = df.sparkSession
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = F.col(vector)
     valid = df.where(F.col(ident).isNotNull() & v.isNotNull()).where(F.forall(v, fine)).where(F.exists(v, lambda x: x != 0)).select(F.col(ident).cast("long").alias("id"), v.alias("v"))
     size = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     kind = "<f8" if dict(df.dtypes)[vector] != "array<float>" else "<f4"
-    if size is None:
-        return Index(Staged(df.sparkSession.createDataFrame([], "block int, ids binary, codes binary, vectors binary"), "ann"), 0, 0, kind, None)
-    dims, count = size[0], max(1, -(-size[1] // block))
-    valid = valid.where(F.size("v") == dims)
-    drawn = valid.orderBy(F.xxhash64("id", "v"), "id", "v").limit(sample).collect()
-    book = Codebook.fit(np.array([r.v for r in drawn], float))
-    dealt = valid.select(F.pmod(F.xxhash64("id", "v"), F.lit(count)).cast("int").alias("block"), "id", "v").repartition(count, "block").sortWithinPartitions("block", "id", "v")
+    dims = size[0] if size is not None else 0
+    named = valid.where(F.size("v") == dims).select("id", F.xxhash64("v").alias("c1"), F.xxhash64("v", F.lit(1)).alias("c2"), "v")
+    asking = Staged(named.select("c1", "c2", "id").distinct(), "ann_rows")
+    # a hot vector's ids are cut to the smallest before they meet
+    nth = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("id"))
+    least = asking.read().withColumn("nth", nth).where(F.col("nth") <= most + 1).groupBy("c1", "c2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = Staged(named.groupBy("c1", "c2").agg(F.any_value("v").alias("v")).join(least, ["c1", "c2"]), "ann_classes")
+    count = classes.read().count()
+    if not count:
+        return Index(asking, classes, classes, 0, dims, kind, None, None, most)
+    parts = min(max(1, 2 * count // block), MOST_PARTS)
+    x = _drawn(classes.read(), min(max(sample, SAMPLE_EACH * parts), MOST_SAMPLE))
+    book, coarse = Codebook.fit(x[:SAMPLE]), Coarse.fit(x, parts, most)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 4096):
+            x = _matrix(b.column(3), dims)
+            codes = book.encode(x).astype(np.uint8)
+            both = codes[:, 0::2] * 16 + codes[:, 1::2]
+            yield pa.RecordBatch.from_arrays([pa.array(coarse.nearest(x).astype(np.int32)), *(b.column(k) for k in range(4)), pa.array([r.tobytes() for r in both], pa.binary())], ["part", "c1", "c2", "ids", "v", "codes"])
+
+    element = "double" if kind == "<f8" else "float"
+    placed = Staged(classes.read().select("c1", "c2", "ids", F.col("v").cast(f"array<{element}>").alias("v")).mapInArrow(tidied(place), f"part int, c1 long, c2 long, ids array<long>, v array<{element}>, codes binary"), "ann_placed")
+    coarse.rows = np.zeros(len(coarse.centres), np.int64)
+    for r in placed.read().groupBy("part").count().collect():  # at most MOST_PARTS rows
+        coarse.rows[r[0]] = r[1]
+    coarse.blocks = -(-coarse.rows // block)
+    coarse.first = np.cumsum(coarse.blocks) - coarse.blocks
+    of = spark.createDataFrame([(k, int(f), int(n)) for k, (f, n) in enumerate(zip(coarse.first, coarse.blocks, strict=True)) if n], "part int, first int, n int")
+    dealt = placed.read().join(F.broadcast(of), "part").select((F.col("first") + F.pmod("c1", "n")).cast("int").alias("block"), "c1", "c2", "ids", "v", "codes")
+    dealt = dealt.repartition(spread(spark), "block").sortWithinPartitions("block", "c1", "c2")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, offs in grouped(iter(batches), 1):
             for s, e in zip(offs[:-1], offs[1:], strict=True):
-                ids = rows.column(1).slice(s, e - s).to_numpy()
-                x = rows.column(2).slice(s, e - s).flatten().to_numpy().reshape(-1, dims)
-                first = np.append(True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1))
-                ids, x = ids[first], x[first]
-                codes = np.concatenate([book.encode(x[i : i + 4096].astype(float)) for i in range(0, len(x), 4096)]).astype(np.uint8)
-                both = codes[:, 0::2] * 16 + codes[:, 1::2]
-                yield pa.RecordBatch.from_arrays([rows.column(0).slice(s, 1), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([both.tobytes()], pa.binary()), pa.array([x.astype(kind).tobytes()], pa.binary())], ["block", "ids", "codes", "vectors"])
+                part = rows.slice(s, e - s)
+                names = np.stack([part.column(k).to_numpy() for k in (1, 2)], 1).astype("<i8")
+                counts, ids = np.diff(np.asarray(part.column(3).offsets)).astype("<i4"), part.column(3).flatten().to_numpy().astype("<i8")
+                vectors = part.column(4).flatten().to_numpy().astype(kind)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), *(pa.array([x], pa.binary()) for x in (names.tobytes(), counts.tobytes(), ids.tobytes(), b"".join(part.column(5).to_pylist()), vectors.tobytes()))], ["block", "names", "counts", "ids", "codes", "vectors"])
 
-    return Index(Staged(dealt.mapInArrow(tidied(pack), "block int, ids binary, codes binary, vectors binary"), "ann"), count, dims, kind, book)
+    blocks = Staged(dealt.mapInArrow(tidied(pack), "block int, names binary, counts binary, ids binary, codes binary, vectors binary"), "ann_blocks")
+    placed.drop()
+    return Index(asking, classes, blocks, count, dims, kind, book, coarse, most)
 
 
 def _best(scores: np.ndarray, most: int) -> np.ndarray:
@@ -146,47 +236,66 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
 
 
 def search(index: Index, every: int = 20, most: int = 20, rerank: int = 160, at_once: int = 32) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``most`` largest inner products found for each query."""
-    spark, dims, kind, book = index.blocks.spark, index.dims, index.dtype, index.book
-    schema = "query_id long, asks int, place long, vec_id long, score double"
+    """query_id, rank (from 1), vec_id, score: the ``most`` largest inner products found for each row whose id ``every`` divides."""
+    spark, dims, kind, book, coarse = index.classes.spark, index.dims, index.dtype, index.book, index.coarse
+    if not index.count:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if most > index.most:
+        raise ValueError(f"the index holds what {index.most} neighbours take")
+    asking = index.asking.read().where(F.col("id") % every == 0)
 
-    def questions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 1):
-            ids = np.frombuffer(b.column(1)[0].as_py(), "<i8")
-            own = np.flatnonzero(ids % every == 0)
-            x = np.frombuffer(b.column(2)[0].as_py(), kind).reshape(-1, dims)[own]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c.tobytes()], pa.binary()) for c in (ids[own], own.astype("<i8"), x))], ["asks", "query_ids", "places", "queries"])
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 512):
+            x = _matrix(b.column(2), dims)
+            row, block = coarse.probed(x, 8 * (most + 1))
+            at = pa.array(row)
+            names = np.stack([b.column(k).to_numpy() for k in (0, 1)], 1).astype("<i8")
+            raw = [(n.tobytes(), v.tobytes()) for n, v in zip(names, x.astype(kind), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *(pa.array([r[k] for r in raw], pa.binary()).take(at) for k in (0, 1))], ["block", "name", "query"])
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, offs in grouped(iter(batches), 1):
+            for s, e in zip(offs[:-1], offs[1:], strict=True):
+                for at in range(s, e, ASKED):
+                    part = rows.slice(at, min(ASKED, e - at))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), *(pa.array([b"".join(part.column(k).to_pylist())], pa.binary()) for k in (1, 2))], ["block", "asked", "queries"])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1):
-            q_ids, places, ids = (np.frombuffer(b.column(k)[0].as_py(), "<i8") for k in (0, 1, 3))
-            q, x = (np.frombuffer(b.column(k)[0].as_py(), kind).reshape(-1, dims) for k in (2, 5))
-            block, asks = (b.column(k)[0].as_py() for k in (6, 7))
-            codes = np.ascontiguousarray(np.frombuffer(b.column(4)[0].as_py(), np.uint8).reshape(len(ids), -1).T)
+            asked, names = (np.frombuffer(b.column(k)[0].as_py(), "<i8").reshape(-1, 2) for k in (0, 2))
+            q, x = (np.frombuffer(b.column(k)[0].as_py(), kind).reshape(-1, dims) for k in (1, 6))
+            counts, ids = np.frombuffer(b.column(3)[0].as_py(), "<i4").astype(np.int64), np.frombuffer(b.column(4)[0].as_py(), "<i8")
+            first = np.cumsum(counts) - counts
+            codes = np.ascontiguousarray(np.frombuffer(b.column(5)[0].as_py(), np.uint8).reshape(len(names), -1).T)
             for at in range(0, len(q), at_once):
-                part = q[at : at + at_once].astype(float)
+                part, out = q[at : at + at_once].astype(float), []
                 tables = book.tables(part)
-                approx = np.zeros((len(part), len(ids)), np.float32)
+                approx = np.zeros((len(part), len(names)), np.float32)
                 for m in range(len(codes)):
                     approx += np.take(tables[:, m], codes[m], axis=1)
                 for i in range(len(part)):
-                    own = places[at + i] if block == asks else -1
-                    if own >= 0:
-                        approx[i, own] = -np.inf
                     rows = _best(approx[i], rerank)
-                    rows = rows[rows != own]
                     exact = np.zeros(len(rows))
                     for d in range(dims):  # in order, so that equal vectors have equal scores
                         exact += x[rows, d].astype(float) * part[i, d]
-                    top = np.lexsort((ids[rows], -exact))[:most]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q_ids[at + i])), pa.array(np.full(len(top), asks, np.int32)), pa.array(np.full(len(top), places[at + i])), pa.array(ids[rows[top]]), pa.array(exact[top])], ["query_id", "asks", "place", "vec_id", "score"])
+                    top = np.lexsort((ids[first[rows]], -exact))[: most + 1]
+                    rows, exact, n = rows[top], exact[top], counts[rows[top]]
+                    own = np.repeat((names[rows] == asked[at + i]).all(1), n)
+                    found, score = ids[np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], np.repeat(exact, n)
+                    top = np.lexsort((found, -score))[: most + 1]
+                    out.append((np.repeat(asked[at + i : at + i + 1], len(top), 0), found[top], score[top], own[top]))
+                name = np.concatenate([o[0] for o in out])
+                yield pa.RecordBatch.from_arrays([pa.array(name[:, 0]), pa.array(name[:, 1]), *(pa.array(np.concatenate([o[k] for o in out])) for k in (1, 2, 3))], ["c1", "c2", "vec_id", "score", "own"])
 
-    if not index.count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = index.blocks.read()
-    asked = blocks.select("block", "ids", "vectors").mapInArrow(tidied(questions), "asks int, query_ids binary, places binary, queries binary")
-    pairs = spark.range(index.count**2).select((F.col("id") % index.count).cast("int").alias("block"), F.floor(F.col("id") / index.count).cast("int").alias("asks"))
-    met = pairs.join(asked, "asks").join(blocks, "block").select("query_ids", "places", "queries", "ids", "codes", "vectors", "block", "asks")
-    found = met.repartition(min(index.count**2, 4096), "block", "asks").mapInArrow(tidied(scan), schema)
-    order = Window.partitionBy("query_id", "asks", "place").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")
+    classes = asking.select("c1", "c2").distinct().join(index.classes.read().select("c1", "c2", "v"), ["c1", "c2"])
+    sent = classes.select("c1", "c2", "v").mapInArrow(tidied(send), "block int, name binary, query binary")
+    chunks = Staged(sent.repartition(spread(spark), "block").sortWithinPartitions("block").mapInArrow(tidied(gather), "block int, asked binary, queries binary"), "ann_asked")
+    met = chunks.read().join(index.blocks.read(), "block").select("asked", "queries", "names", "counts", "ids", "codes", "vectors")
+    found = met.mapInArrow(tidied(scan), "c1 long, c2 long, vec_id long, score double, own boolean")
+    order = Window.partitionBy("c1", "c2").orderBy(F.desc("score"), "vec_id")
+    top = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most + 1).groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score", "own"))).alias("found"))
+    top = Staged(top, "ann_found")
+    chunks.drop()
+    others = F.slice(F.filter("found", lambda f: ~(f["own"] & (f["vec_id"] == F.col("id")))), 1, most)
+    ranked = asking.join(top.read(), ["c1", "c2"]).select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "f"))
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))

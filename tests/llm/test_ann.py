@@ -15,9 +15,9 @@ def _brute(ids, x, every=20, most=20):
     return out
 
 
-@pytest.mark.parametrize("block", [700, 1 << 14])
-def test_recall(spark, block):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize(("sf", "block"), [("sf0.1", 200), ("sf0.1", 700), ("sf0.1", ann.BLOCK), ("sf0.01", 100), ("sf0.01", ann.BLOCK), ("sf0.001", ann.BLOCK)])
+def test_recall(spark, sf, block):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = sorted(df.collect(), key=lambda r: r.vec_id)
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32)
     want, got = _brute(ids, x), {}
@@ -62,3 +62,33 @@ def test_rows_of_one_id(spark, block):
     one = [(0, 1, 1, 3.0), (0, 2, 2, 2.0), (0, 3, 1, 1.0), (0, 4, 0, 0.0)]  # asked by the first row of id 0, then by the second
     two = [(0, 1, 1, 8.0), (0, 2, 2, 4.0), (0, 3, 1, 2.0), (0, 4, 0, 0.0)]
     assert sorted(got) == sorted(one + two)
+
+
+def test_a_vector_that_a_third_of_all_rows_have(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(900, 8)).astype(np.float32)
+    x[draw.permutation(900)[:300]] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    index = ann.build(df, block=100)
+    held = index.blocks.read().selectExpr("octet_length(ids) AS n", "octet_length(names) AS k").collect()
+    assert index.count == 601 and sum(r.n for r in held) <= 8 * (600 + 21) and max(r.k for r in held) <= 16 * 150
+    got, want = {}, _brute(np.arange(900), x)
+    for r in sorted(ann.search(index).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    hot = [q for q in got if (x[q] == x[7]).all()]
+    assert hot and all(got[q] == want[q] for q in hot)  # ties go to the smaller ids, none to the row itself
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in got) >= 0.9 * 20 * len(got)
+
+
+def test_parts_grow_with_the_rows_and_queries_go_to_few(spark):
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(40, 16)) * 4
+    x = np.concatenate([c + draw.normal(size=(60, 16)) for c in centres])
+    coarse = ann.Coarse.fit(x, 40, 20)
+    coarse.rows = np.bincount(coarse.nearest(x), minlength=len(coarse.centres))
+    coarse.blocks = -(-coarse.rows // 50)
+    coarse.first = np.cumsum(coarse.blocks) - coarse.blocks
+    row, block = coarse.probed(x[::20], 100)
+    assert coarse.probes < 20 and len(block) < 0.6 * len(x[::20]) * coarse.blocks.sum() and block.max() < coarse.blocks.sum()
+    assert set(row) == set(range(len(x[::20])))
