@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 
@@ -175,6 +176,18 @@ def clashing(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[c for i, c in enumerate(df.columns) if c.lower() not in low])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """``rows`` with what ``groups`` has of each of their groups: ``keys``, ``n`` (how many of the ``count`` rows it has) and more; rows without one go.
+
+    Groups of more than a thousandth of all rows are at most a thousand: they are broadcast, so a hot group's
+    rows stay in the tasks where they are. The others are joined by shuffle.
+    """
+    most = max(1000, count // 1000)
+    large = groups.where(F.col("n") > most).drop("n")
+    near = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.where(F.col("n") <= most).drop("n"), keys)
+    return near.unionByName(rows.join(F.broadcast(large), keys))
+
+
 def private(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, for an operator's own use."""
     taken, out = {c.lower() for c in df.columns}, []

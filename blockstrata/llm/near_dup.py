@@ -13,7 +13,9 @@ its members' signatures compared across them, and of the pairs that may be linke
 spanning forest is kept, at most one row a member. Its trees are the clusters in which
 links can remain: there each two classes of different components are tested on full
 sets, again keeping a spanning forest. Comparisons run in tasks of two blocks of
-bounded size; what they return grows with the members, not with their pairs. Every
+bounded size, and blocks of one component don't meet; what they return grows with the members,
+not with their pairs. What is known of a group of a thousandth of all rows or more goes to its rows by
+broadcast (there are few), so no join brings a hot group to one task. Every
 link is confirmed on full sets, and every pair that may be linked is tested unless its
 ends are already connected.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import AT_ONCE, Staged, grouped, small_batches, spread, text_chunks, tidied
+from blockstrata.llm._base import AT_ONCE, Staged, grouped, join_groups, small_batches, spread, text_chunks, tidied
 from blockstrata.llm._words import U64, Texts, mix, runs
 from blockstrata.llm.components import components
 
@@ -175,11 +177,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(tidied(run), "x long, y long, linked boolean")
 
 
-def _blocked(members: DataFrame, payload: DataFrame, size: Column) -> DataFrame:
-    """Members (key, rep, comp) of each key dealt to ``size`` blocks, with their payload (rep, payload): a row for each two blocks they are in."""
-    blocks = members.groupBy("key").agg(F.ceil(size).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    paired = dealt.join(payload, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _blocked(members: DataFrame, payload: DataFrame, size: Column, count: int) -> DataFrame:
+    """Members (key, rep, comp) of each key dealt to blocks of ``size`` one, with their payload (rep, payload): a row for each two blocks they are in.
+
+    A component that fills half a block has blocks of its own. Those never meet each other, as what is in one component
+    is compared no more, so a key of which one component has most members takes meetings in proportion to the others.
+    """
+    parts = members.groupBy("key", "comp").agg(size.alias("w"), F.count("*").alias("k"))
+    large = F.col("w") >= 0.5
+    keys = parts.groupBy("key").agg(F.sum("k").alias("n"), F.ceil(F.sum(F.when(~large, F.col("w")))).cast("int").alias("rest"), F.sort_array(F.collect_list(F.when(large, F.struct("comp", F.ceil("w").cast("int").alias("parts"))))).alias("own"))
+    label = lambda big, comp, at: F.struct(big.alias("big"), comp.alias("comp"), at.cast("int").alias("at"))
+    ours = F.flatten(F.transform("own", lambda o: F.transform(F.sequence(F.lit(0), o["parts"] - 1), lambda i: label(F.lit(True), o["comp"], i))))
+    theirs = F.when(F.col("rest") > 0, F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda i: label(F.lit(False), F.lit(0).cast("long"), i)))
+    keys = keys.withColumn("labels", F.concat(ours, F.coalesce(theirs, F.slice(ours, 1, 0))))
+    mine = F.get(F.filter("own", lambda o: o["comp"] == F.col("comp")), F.lit(0))
+    dealt = join_groups(members, keys, ["key"], count).withColumn("mine", mine)
+    where = F.pmod(F.xxhash64("rep"), F.coalesce(F.col("mine.parts"), F.col("rest")))
+    dealt = dealt.withColumn("label", label(F.col("mine").isNotNull(), F.when(F.col("mine").isNotNull(), F.col("comp")).otherwise(F.lit(0).cast("long")), where))
+    dealt = dealt.withColumn("block", (F.array_position("labels", F.col("label")) - 1).cast("int"))
+    paired = dealt.join(payload, "rep").select("key", "rep", "comp", *(["size"] if "size" in members.columns else []), "payload", "block", F.posexplode("labels").alias("other", "l"))
+    paired = paired.where(~(F.col("l.big") & (F.col("l.comp") == F.col("comp"))))
     rows = paired.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "comp", "payload")
     return rows.repartition(spread(members.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b")
 
@@ -204,7 +221,7 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
 
-def _perhaps(members: DataFrame, signatures: DataFrame, need: int) -> DataFrame:
+def _perhaps(members: DataFrame, signatures: DataFrame, need: int, count: int) -> DataFrame:
     """Spanning edges (x, y) of the pairs in a bucket (key, rep, comp) that agree in ``need`` minima and lie in different components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +240,10 @@ def _perhaps(members: DataFrame, signatures: DataFrame, need: int) -> DataFrame:
                 out += forest.edges
             yield _edges(out)
 
-    return _blocked(members, signatures, F.count("*") / BLOCK).mapInArrow(tidied(run), "x long, y long")
+    return _blocked(members, signatures, F.count("*") / BLOCK, count).mapInArrow(tidied(run), "x long, y long")
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
     """Spanning edges (x, y) of the links in a cluster (key, rep, comp, size) between different components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +271,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     forest.link(i, far[100 * common >= percent * (own + size[i] - common)])
                 yield _edges(forest.edges)
 
-    return _blocked(members, sets, F.greatest(F.count("*") / BLOCK, F.sum("size") / WEIGHT)).mapInArrow(tidied(run), "x long, y long")
+    return _blocked(members, sets, F.greatest(F.count("*") / BLOCK, F.sum("size") / WEIGHT), count).mapInArrow(tidied(run), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: list[Staged] | None = None) -> DataFrame:
@@ -264,15 +281,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: li
     need = least_agreement(percent, hashes)
     signed = Staged(_signed(docs, words, hashes), "signed")
     some = signed.read().where("n_shingles > 0 and doc_id is not null")
-    least = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = Staged(some.select("doc_id", "h1", "h2").join(least, ["h1", "h2"]).select("doc_id", "rep").distinct(), "member")
+    least = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    member = Staged(join_groups(some.select("doc_id", "h1", "h2"), least, ["h1", "h2"], some.count()).select("doc_id", "rep").distinct(), "member")
     # a doc_id with several texts links their classes
     same_doc = member.read().where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    classes = some.join(least, ["h1", "h2"]).where("doc_id = rep").select("rep", "signature").dropDuplicates(["rep", "signature"])
-    classes = Staged(classes, "classes")
+    first = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "signature")).alias("one"))
+    classes = Staged(first.select(F.col("one.doc_id").alias("rep"), F.col("one.signature").alias("signature")), "classes")
     banded = Staged(_banded(classes.read(), bands), "banded")
-    shared = banded.read().groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
-    bucket = Staged(banded.read().join(shared.select("key", "first"), "key"), "bucket")
+    shared = banded.read().groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).where("first <> last")
+    bucket = Staged(join_groups(banded.read(), shared.select("key", "first", "n"), ["key"], banded.read().count()), "bucket")
     banded.drop()
     star = bucket.read().where("rep <> first").select(F.col("rep").alias("x"), F.col("first").alias("y")).distinct()
     scored = _agreement(star, classes.read()).where(F.col("same") >= need)
@@ -284,15 +301,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: li
     label = components(links.read())
     of = lambda frame: frame.join(label.read().select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     labelled = of(bucket.read().select("key", "rep"))
-    apart = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    perhaps = Staged(_perhaps(labelled.join(apart, "key"), classes.read().withColumnRenamed("signature", "payload"), need), "perhaps")
+    apart = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 <> c2").select("key", "n")
+    divided = Staged(join_groups(labelled, apart, ["key"], bucket.read().count()), "divided")
+    perhaps = Staged(_perhaps(divided.read(), classes.read().withColumnRenamed("signature", "payload"), need, divided.read().count()), "perhaps")
     cluster = components(perhaps.read().select(F.col("x").alias("u"), F.col("y").alias("v")))
     inside = perhaps.read().select(F.col("x").alias("rep")).unionByName(perhaps.read().select(F.col("y").alias("rep"))).distinct()
     inside = Staged(of(inside).join(cluster.read().select(F.col("u").alias("rep"), F.col("v").alias("key")), "rep", "left").withColumn("key", F.coalesce("key", "rep")), "inside")
     sets = Staged(_full_sets(docs, inside.read().select("rep"), words), "sets")
     sized = inside.read().join(sets.read().groupBy("rep").agg(F.max(F.octet_length("members") / 8).alias("size")), "rep")
-    more = Staged(_links(sized, sets.read().withColumnRenamed("members", "payload"), percent).select(F.col("x").alias("u"), F.col("y").alias("v")), "more")
-    for t in (bucket, classes, perhaps, cluster, inside, sets, label):
+    more = Staged(_links(sized, sets.read().withColumnRenamed("members", "payload"), percent, inside.read().count()).select(F.col("x").alias("u"), F.col("y").alias("v")), "more")
+    for t in (bucket, divided, classes, perhaps, cluster, inside, sets, label):
         t.drop()
     label = components(links.read().unionByName(more.read()))
     for t in (links, more):

@@ -63,3 +63,42 @@ def test_components(spark):
         for a, b in edges:
             at[a] = at[b] = min(at[a], at[b])
     assert got == {x: m for x, m in at.items() if x != m}
+
+
+def test_one_component_that_fills_buckets(spark, monkeypatch):
+    """A large group of copies and near copies, texts beside it that share bands but are no links, small blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "WEIGHT", 300)
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    near = lambda n: " ".join(draw.choice(["x", "y", "z"]) + str(draw.randrange(99)) if i in spots else w for spots in [set(draw.sample(range(60), n))] for i, w in enumerate(base))
+    rows = [(i, " ".join(base)) for i in range(150)] + [(200 + i, near(draw.choice([1, 1, 2, 3, 4]))) for i in range(90)] + [(400 + i, " ".join(f"v{draw.randrange(5000)}" for _ in range(30))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for words, percent in ((3, 70), (2, 80)):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, words, percent).collect()}
+        sets = {d: {tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for d, t in rows}
+        assert got == _reach(sets, percent)
+    assert len(set(got.values())) > 30
+
+
+def _reach(sets, percent):
+    parent = {d: d for d in sets}
+
+    def top(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    return {d: top(d) for d in sets}
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    edges = [(5, k) for k in range(10, 2600)] + [(k, k + 1) for k in range(3000, 3040)] + [(2599, 3000), (7000, 7001), (8, 8), (None, 3)]
+    got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).read().collect()}
+    assert got == {**{k: 5 for k in [*range(10, 2600), *range(3000, 3041)]}, 7001: 7000}
+    assert components.components(spark.createDataFrame([], "u long, v long")).read().collect() == []

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from blockstrata.llm import packing, queries
@@ -58,3 +59,44 @@ def test_null_and_negative_sizes(spark):
     out = packing.pack_sequences(df, "n", (16, 32)).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in out) == [(1, 0), (2, 0), (3, 10), (3, 10)]
     _check(out, (16, 32))
+
+
+def _plain(sizes, lengths, overhead):
+    """Best fit by looking at every open bin; the length to open by adding up what would still fit."""
+    bins, out = [], []
+    for i, size in enumerate(sizes):
+        fitting = [(room, -last, b) for b, (room, last) in enumerate(bins) if room >= size]
+        if fitting:
+            _, _, b = min(fitting)
+        else:
+            costs = []
+            for length in sorted(lengths):
+                if length >= size:
+                    rest = sum(s for s in sizes[i + 1 :] if s <= length - size)
+                    costs.append(((length + overhead) / max(1, size + min(length - size, rest)), length))
+            b = len(bins)
+            bins.append((min(costs)[1], 0))
+        room, _ = bins[b]
+        bins[b] = (room - size, i + 1)  # of bins with equal room the one touched last comes first
+        out.append(b)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_fit_by_brute_force(seed):
+    draw = random.Random(seed)
+    lengths = draw.choice([(16,), (16, 32), (10, 25, 64), (8, 16, 32, 64)])
+    sizes = sorted((draw.randrange(max(lengths) + 1) for _ in range(draw.choice([1, 5, 60, 200]))), reverse=True)
+    overhead = draw.choice([0, 3, 64])
+    got = packing.pack(sizes, lengths, overhead)
+    assert [b for b, _ in got] == _plain(sizes, lengths, overhead)
+    filled = defaultdict(int)
+    for (b, at), s in zip(got, sizes, strict=True):
+        assert at == filled[b]
+        filled[b] += s
+
+
+def test_own_names_may_clash(spark):
+    df = spark.createDataFrame([(3, 10, 1, 2)], "doc_id long, n long, _whole int, whole int")
+    (r,) = packing.pack_sequences(df, "n", (16, 32)).collect()
+    assert (r._whole, r.whole, r.n_tokens, r.length) == (1, 2, 10, 16)

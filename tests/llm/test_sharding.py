@@ -45,3 +45,11 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(sharding.shard(df, "h", "doc_id", "n", shards=4), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 500 and {r[0] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_own_names_may_clash_and_ranges_follow_the_size(spark):
+    df = spark.range(400).select(F.col("id").alias("_id"), F.xxhash64("id").alias("_key"), F.lit(5).alias("_size"), F.lit("r").alias("_range"), F.lit(1).alias("key"), F.lit(2).alias("id"))
+    for limit in (1 << 28, 4):
+        rows = sharding.shard(df, "_key", "_id", "_size", shards=3, pieces=2, range_bytes=limit).collect()
+        assert sorted(r._id for r in rows) == list(range(400)) and {(r._size, r._range, r.key, r.id) for r in rows} == {(5, "r", 1, 2)}
+        assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(3))
