@@ -44,18 +44,20 @@ def _segment(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), F.url_encode(role), F.lit("\n"), escape(text), F.lit(END))
 
 
-def windows(turns: DataFrame, budget: int = 512, history: int = 128, history_turns: int = 2, target: str = "assistant") -> DataFrame:
+def windows(turns: DataFrame, budget: int = 512, history: int = 128, history_turns: int = 2, target: str = "assistant", tokens: str | None = None) -> DataFrame:
     """One row a window of ``turns`` (conv_id, turn, role, text; others are ignored).
 
     Returns conv_id, window (long, in order), formatted, loss (array of start and length in
     code points of the escaped targets), n_turns, n_repeated (leading turns that are repeats)
-    and n_tokens (of its own turns). One shuffle, by conversation.
+    and n_tokens (of its own turns). ``tokens`` names a column with each turn's count of tokens (null and
+    negative count as 0); without one they are estimated. One shuffle, by conversation.
     """
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    count = tokens_of(F.coalesce("text", F.lit(""))) if tokens is None else F.greatest(F.coalesce(turns[tokens].cast("long"), F.lit(0)), F.lit(0))
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), count.alias("tokens"))
     conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = t.withColumn("pos", F.row_number().over(conv))
     system = (F.col("pos") == 1) & (F.col("role") == "system")
-    t = t.withColumn("tokens", F.when(system, 0).otherwise(tokens_of(F.col("text"))))
+    t = t.withColumn("tokens", F.when(system, 0).otherwise(F.col("tokens")))
     t = t.withColumn("upto", F.sum("tokens").over(conv.rowsBetween(Window.unboundedPreceding, 0))).withColumn("since", F.col("upto") - F.col("tokens"))
     stretch = F.floor(F.greatest(F.col("upto") - 1, F.lit(0)) / budget)
     t = t.withColumn("window", stretch * 2 + (F.col("since") >= stretch * budget).cast("long"))

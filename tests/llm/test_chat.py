@@ -46,3 +46,19 @@ def test_windows_keep_budget_system_and_history(spark):
     assert any(r.n_repeated > 1 for r in out) and all(r.n_repeated <= 3 for r in out)
     masked = [r.formatted[s.start : s.start + s.length] for r in out for s in r.loss]
     assert masked == [x for _, _, role, x in rows if role == "assistant"]
+
+
+def test_counts_of_tokens_may_be_given(spark):
+    rows = [(1, 0, "system", "s", 999), (1, 1, "user", "a", 6), (1, 2, "assistant", "b", 4), (1, 3, "user", "c", None), (1, 4, "assistant", "d", 10), (1, 5, "user", "e", -3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tokens long")
+    out = {r.window: r for r in chat.windows(turns, budget=10, history=0, tokens="tokens").collect()}
+    assert [out[k].n_tokens for k in sorted(out)] == [10, 10] and sum(r.n_turns for r in out.values()) == 6
+    assert chat.read_back(chat.windows(turns, budget=10, tokens="tokens")).first().loss_text == "bd"
+
+
+def test_one_conversation_with_a_third_of_all_turns(spark):
+    rows = [(7, i, "assistant" if i % 2 else "user", f"turn {i} " * (1 + i % 5)) for i in range(2000)] + [(100 + i // 4, i % 4, "assistant" if i % 2 else "user", f"x{i}") for i in range(4000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    back = {r.conv_id: r for r in chat.read_back(chat.windows(turns)).collect()}
+    assert [(t["role"], t["text"]) for t in back[7].turns] == [r[2:] for r in rows[:2000]] and len(back) == 1001
+    assert back[7].loss_text == "".join(r[3] for r in rows[:2000] if r[2] == "assistant")
