@@ -17,16 +17,18 @@ _LOWER = _CODES.copy()
 _LOWER[65:91] = _CODES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Powers up to this are kept, 8 bytes each.
+_KEPT_POWERS = (1 << 19) + 1024
 _POWERS = {"base": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
 
 
 def _powers(kind: str, n: int) -> np.ndarray:
     have = _POWERS[kind]
     if len(have) < n:
-        steps = np.full(max(n, (1 << 20) + 1024), _BASE if kind == "base" else _INVERSE, np.uint64)
+        steps = np.full(max(n, _KEPT_POWERS), _BASE if kind == "base" else _INVERSE, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps)
-        if n <= (1 << 20) + 1024:  # longer ones are made when they are needed
+        if n <= _KEPT_POWERS:  # longer ones are made when they are needed
             _POWERS[kind] = have
     return have[:n]
 

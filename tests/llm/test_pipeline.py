@@ -56,3 +56,13 @@ def test_near_duplicates_go_row_by_row(spark, as_dir):
     key = lambda r: (r[0] or 0, r[1] or "")
     assert out.dtypes == docs.dtypes
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([(1, first), (2, other), (3, lone), (None, last), (None, None), (None, None)], key=key)
+
+
+def test_other_columns_and_running_twice(spark, as_dir):
+    """Columns of any name beside those of documents are left out; a second run gives the same and finds the first one's tables gone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS kept", "2 AS _row", "3 AS _text", "'x' AS h", "4 AS prior", "5 AS n_ids", "6 AS bin")
+    folder = as_dir(documents=docs, labels=spark.read.parquet(f"{SF}/labels.parquet"))
+    key = lambda r: (r.doc_id, r.piece, r.n_ids, r.start, r.n_tokens)
+    one, two = (sorted(map(key, corpus_pipeline.run(spark, f).collect())) for f in (folder, SF))
+    assert one == two and len(one) > 50
+    assert corpus_pipeline._LEFT == []
