@@ -11,8 +11,9 @@ Equal vectors are one class, which stands for its smallest ids: more of them tha
 for can never be found, so nothing is lost. Classes lie in parts around coarse centres, as
 many as the input needs, and parts in blocks of bounded size. A query goes to the parts whose
 centres score best; how many, is measured when the index is built: as many as hold nearly
-all true neighbours of queries drawn from the sample, all parts if it takes all. What is
-shuffled, scanned and held therefore grows with the rows and not with their pairs, and a
+all true neighbours of queries drawn from the sample, all parts if it takes all (as it does
+for vectors without any structure, where nothing but a scan finds neighbours). Where few
+parts do, what is shuffled, scanned and held grows with the rows and not with their pairs; a
 part that is larger than others is only more blocks.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null
@@ -235,6 +236,20 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: most - len(above)]])
 
 
+#: Rows found that a task holds before it combines them, and their columns.
+MOST_HELD, _FOUND = 200_000, ["c1", "c2", "vec_id", "score", "own"]
+
+
+def _firsts(held: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
+    """Of rows (c1, c2, vec_id, score, own) the ``most`` best of each (c1, c2)."""
+    c1, c2, vec_id, score, own = (np.concatenate([h[k] for h in held]) for k in range(5))
+    order = np.lexsort((vec_id, -score, c2, c1))
+    new = np.append(True, (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1])) if len(order) else np.zeros(0, bool)
+    at = np.arange(len(order))
+    keep = order[at - np.maximum.accumulate(np.where(new, at, 0)) < most] if len(order) else order
+    return c1[keep], c2[keep], vec_id[keep], score[keep], own[keep]
+
+
 def search(index: Index, every: int = 20, most: int = 20, rerank: int = 160, at_once: int = 32) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``most`` largest inner products found for each row whose id ``every`` divides."""
     spark, dims, kind, book, coarse = index.classes.spark, index.dims, index.dtype, index.book, index.coarse
@@ -261,6 +276,21 @@ def search(index: Index, every: int = 20, most: int = 20, rerank: int = 160, at_
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), *(pa.array([b"".join(part.column(k).to_pylist())], pa.binary()) for k in (1, 2))], ["block", "asked", "queries"])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of each query among all blocks that a task has, not of each block."""
+        held, size = [], 0
+        for found in meetings(batches):
+            held.append(found)
+            size += len(found[0])
+            if size > MOST_HELD:
+                held, size = [_firsts(held, most + 1)], 0
+                size = len(held[0][0])
+                if 2 * size > MOST_HELD:  # other queries than before
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], _FOUND)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _firsts(held, most + 1)], _FOUND)
+
+    def meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in small_batches(batches, 1):
             asked, names = (np.frombuffer(b.column(k)[0].as_py(), "<i8").reshape(-1, 2) for k in (0, 2))
             q, x = (np.frombuffer(b.column(k)[0].as_py(), kind).reshape(-1, dims) for k in (1, 6))
@@ -285,7 +315,7 @@ def search(index: Index, every: int = 20, most: int = 20, rerank: int = 160, at_
                     top = np.lexsort((found, -score))[: most + 1]
                     out.append((np.repeat(asked[at + i : at + i + 1], len(top), 0), found[top], score[top], own[top]))
                 name = np.concatenate([o[0] for o in out])
-                yield pa.RecordBatch.from_arrays([pa.array(name[:, 0]), pa.array(name[:, 1]), *(pa.array(np.concatenate([o[k] for o in out])) for k in (1, 2, 3))], ["c1", "c2", "vec_id", "score", "own"])
+                yield name[:, 0], name[:, 1], *(np.concatenate([o[k] for o in out]) for k in (1, 2, 3))
 
     classes = asking.select("c1", "c2").distinct().join(index.classes.read().select("c1", "c2", "v"), ["c1", "c2"])
     sent = classes.select("c1", "c2", "v").mapInArrow(tidied(send), "block int, name binary, query binary")

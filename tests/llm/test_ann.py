@@ -64,6 +64,16 @@ def test_rows_of_one_id(spark, block):
     assert sorted(got) == sorted(one + two)
 
 
+def test_a_task_combines_what_its_blocks_find(spark, monkeypatch):
+    """The same result whether a task holds all, some or next to nothing of what it finds."""
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    out = []
+    for held in (10, 700, ann.MOST_HELD):
+        monkeypatch.setattr(ann, "MOST_HELD", held)
+        out.append(sorted(map(tuple, ann.search(ann.build(df, block=40)).collect())))
+    assert out[0] == out[1] == out[2] and len(out[0]) == 25 * 20
+
+
 def test_a_vector_that_a_third_of_all_rows_have(spark):
     draw = np.random.default_rng(4)
     x = draw.normal(size=(900, 8)).astype(np.float32)
