@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from blockstrata.errors import InvalidData
 from blockstrata.operators.rows import block_counts, dims_of, ordinal
+from blockstrata.sources.shared import settled
 
 
 def bucket_width(rows: int, ideal: int) -> int:
@@ -35,8 +36,7 @@ def crush(rows: DataFrame, ideal: int, total: int | None = None, row: str | None
     if row:
         numbered = rows
     else:
-        counts = block_counts(rows)
-        counts = counts.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else counts.persist()
+        counts = settled(block_counts(rows))
         numbered = ordinal(rows, counts)
         total = counts.agg(F.sum("n")).first()[0] or 0 if total is None else total
     width = bucket_width(rows.count() if total is None else total, ideal)

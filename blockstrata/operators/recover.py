@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from blockstrata.sources import datasource
 from blockstrata.sources.framing import OVERHEAD, SYNC
+from blockstrata.sources.shared import settled
 
 #: Torn blocks are looked for up to this size.
 MAX_GLUED = 1 << 20
@@ -69,6 +70,8 @@ def parts(data: bytes, accept_zero: bool = False) -> list[Part]:
     return out
 
 
+#: Up to so many bytes in all each split is simply tried.
+_DIRECT = 1 << 20
 #: The checksum's polynomial, lowest power in the highest bit.
 _POLYNOMIAL = np.uint32(0xEDB88320)
 
@@ -122,6 +125,12 @@ def try_glue(left: bytes, right: bytes, size: int, offset: int = 0, mod: int = 0
     if not len(frame):
         return None
     body = size - 8
+    if len(frame) * size <= _DIRECT:
+        for split in frame.tolist():
+            whole = left[:split] + right[split:]
+            if zlib.crc32(whole[:body]) == struct.unpack_from(">I", whole, body)[0]:
+                return split
+        return None
     powers, one, two = _powers(body), _running(left[:body]), _running(right[:body])
     cut = np.minimum(frame, body)
     behind = two[body] ^ _times(powers[body - cut], two[cut])  # of the second piece alone
@@ -208,8 +217,8 @@ def glued(spark: SparkSession, path: str, mod: int = 0, partition_bytes: int = 6
     """file, left, right, size, split: blocks torn between two parts of each file of a folder, by part numbers.
 
     Nothing is read but runs of bytes: blocks are found in splits, parts by their offsets, and only the bytes behind
-    and before a part, up to the largest block that may be torn, are read again. Parts whose size words differ never
-    meet. Neighbours count before others; then each part's end and start is used once, lowest numbers first.
+    and before a part, up to the largest block that may be torn, are read again. Neighbours are tried first; of what
+    is left, parts whose size words are equal meet, and each end and start is used once, lowest numbers first.
     """
     read = datasource.read(spark, path, table="blocks", split="true", partition_bytes=partition_bytes)
     whole = read.where("crc_ok AND crc <> 0").select("file", "offset", "size", "group")
@@ -231,10 +240,11 @@ def glued(spark: SparkSession, path: str, mod: int = 0, partition_bytes: int = 6
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.string(), *[pa.int64()] * 7], strict=True)], ["file", "part", "offset", "end", "from", "to", "behind", "before"])
 
-    ends = part.select("file", "part", "offset", "end", "from", "to").mapInArrow(words, "file string, part long, offset long, end long, from long, to long, behind long, before long")
+    ends = settled(part.select("file", "part", "offset", "end", "from", "to").mapInArrow(words, "file string, part long, offset long, end long, from long, to long, behind long, before long"))
     left = ends.where("behind IS NOT NULL").select("file", F.col("behind").alias("size"), F.col("part").alias("left"), "end", "to")
     right = ends.where("before IS NOT NULL").select("file", F.col("before").alias("size"), F.col("part").alias("right"), "from", F.col("offset").alias("until"))
-    pairs = left.join(right, ["file", "size"]).where("left <> right").select("file", "size", "left", "right", "end", "to", "from", "until")
+    columns = ["file", "size", "left", "right", "end", "to", "from", "until"]
+    beside = left.withColumn("right", F.col("left") + 1).join(right, ["file", "size", "right"]).select(*columns)
 
     def attempt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +260,9 @@ def glued(spark: SparkSession, path: str, mod: int = 0, partition_bytes: int = 6
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.string(), *[pa.int64()] * 4], strict=True)], ["file", "left", "right", "size", "split"])
 
-    fits = pairs.mapInArrow(attempt, "file string, left long, right long, size long, split long")
-    near = F.when(F.col("right") == F.col("left") + 1, 0).otherwise(1)
-    first = lambda side, other: F.row_number().over(Window.partitionBy("file", side).orderBy(near, other))
-    return fits.withColumn("_l", first("left", "right")).withColumn("_r", first("right", "left")).where("_l = 1 AND _r = 1").drop("_l", "_r")
+    schema = "file string, left long, right long, size long, split long"
+    found = settled(beside.mapInArrow(attempt, schema))
+    rest = left.join(found.select("file", "left"), ["file", "left"], "left_anti").join(right.join(found.select("file", "right"), ["file", "right"], "left_anti"), ["file", "size"]).where("left <> right AND right <> left + 1").select(*columns)
+    first = lambda side, other: F.row_number().over(Window.partitionBy("file", side).orderBy(other))
+    far = rest.mapInArrow(attempt, schema).withColumn("_l", first("left", "right")).withColumn("_r", first("right", "left")).where("_l = 1 AND _r = 1").drop("_l", "_r")
+    return found.unionByName(far)

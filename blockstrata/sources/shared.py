@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: the folder, and tables that are computed once."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small table that several plans use, computed once: checkpointed where a folder for that is set, else kept."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``; below a temporary one only where that is unset and all runs in one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
