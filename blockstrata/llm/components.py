@@ -5,37 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm._base import Staged, join_groups
+from blockstrata.llm._base import Staged
 
 
-def _with_least(rows: DataFrame, count: int) -> DataFrame:
-    """Edges (u, v) with ``m``, the least of u and its neighbours."""
-    return join_groups(rows, rows.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n")), ["u"], count)
-
-
-def _large_star(edges: DataFrame, count: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, 2 * count).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, count: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    moved = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-    return _with_least(down, count).select(moved.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u")
+    return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, most_steps: int = 60) -> Staged:
     """(u, v): v is the smallest node that u reaches, for each u that is not the smallest of its component.
 
     ``edges`` (u, v) are longs; those with a null and loops are left out, direction and repeats do not matter, no
-    edges give no rows. A node's neighbours are reduced to their minimum by partial aggregation; the minimum goes
-    back to a hub's edges by broadcast, as few nodes can be hubs, and to all others by a join.
+    edges give no rows. A node's neighbours are reduced to their minimum by partial aggregation; the join that brings
+    it back reads a hub's edges (16 bytes each, never expanded) in one task.
     """
     now = Staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
     for _ in range(most_steps):
-        # a large star has no more edges than it is made from
-        new = Staged(_small_star(_large_star(now.read(), mark[0]), mark[0]), "stars")
+        new = Staged(_small_star(_large_star(now.read())), "stars")
         now.drop()
         now, (seen, mark) = new, (mark, _mark(new))
         if seen == mark:

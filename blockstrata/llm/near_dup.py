@@ -15,7 +15,7 @@ links can remain: there each two classes of different components are tested on f
 sets, again keeping a spanning forest. Comparisons run in tasks of two blocks of
 bounded size, and blocks of one component don't meet; what they return grows with the members,
 not with their pairs. What is known of a group of a thousandth of all rows or more goes to its rows by
-broadcast (there are few), so no join brings a hot group to one task. Every
+broadcast (there are few), so a group of copies or a bucket never meets in one task. Every
 link is confirmed on full sets, and every pair that may be linked is tested unless its
 ends are already connected.
 
