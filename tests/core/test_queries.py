@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -29,3 +30,12 @@ def test_equals_sql(spark, duck, name):
     found = duck.execute(queries.ORACLE[name])
     order = [[c[0] for c in found.description].index(c) for c in columns]
     assert _plain(tuple(r) for r in df.select(*columns).collect()) == _plain(tuple(r[i] for i in order) for r in found.fetchall())
+
+
+def test_messages_keep_null_ids_and_texts(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (2, ""), (3, None), (None, "x"), (None, "x"), (None, None), (-4, "é\n\x00"), (2**52, "word " * 20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(d, None, None) if t is None else (d, len(t.encode()), hashlib.md5(t.encode()).hexdigest()) for d, t in rows]
+    assert _plain(tuple(r) for r in queries.QUERIES["message_raw"](spark, str(tmp_path)).collect()) == _plain(want)
+    spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert queries.QUERIES["message_raw"](spark, str(tmp_path)).collect() == []
