@@ -15,9 +15,9 @@ segment that has its anchor to itself needs no sorting, as no other can match it
 gets back a bit for each window of what it sent: whether a smaller document than its own
 has it.
 
-A shard is sorted in memory, and is made to fit: for some megabytes of text, and without
-split anchors. A segment or window of a third of all documents costs a shard one entry a
-block of about two megabytes, not one a document. Blocks are kept compressed, read three times, and rows of
+A shard's distinct segments are sorted in memory, and are made to fit: some megabytes of
+text, and without split anchors. A segment or window of a third of all documents is held once
+by its shard, and costs an entry of twelve bytes a block in a scratch file. Blocks are kept compressed, read three times, and rows of
 one block never leave it.
 
 Defined results: null counts as empty; a null doc_id sorts behind all others; documents of
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -270,22 +271,92 @@ def _hashes(chars: np.ndarray, start: np.ndarray, size: np.ndarray, length: int)
     return key, anchor
 
 
-def earlier_windows(least: np.ndarray, size: np.ndarray, chars: np.ndarray, length: int) -> np.ndarray:
-    """For each segment (``size`` bytes of ``chars``, first in ``least``) a bit for each window: whether a smaller doc has it."""
-    end = np.cumsum(size)
-    key, anchor = _hashes(chars, end - size, size, length)
-    _, first, entry = np.unique(key, return_index=True, return_inverse=True)
-    docs = np.full(len(first), _LAST)
-    np.minimum.at(docs, entry, least)
+class Shard:
+    """What blocks send to a shard: each distinct segment is held once, and which of them an entry is goes to a scratch file once there are more.
+
+    The scratch file ends with the task. Rows are taken in by ``at_once`` bytes; a shard below that has no file.
+    """
+
+    def __init__(self, length: int, at_once: int) -> None:
+        self.length, self.at_once = length, at_once
+        self.waiting: list[tuple[int, bytes, bytes, bytes]] = []
+        self.bytes = 0
+        self.file = None
+        self.last: tuple[np.ndarray, ...] | None = None
+        self.key, self.anchor = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.docs, self.size, self.chars = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def add(self, block: int, least: bytes, size: bytes, chars: bytes) -> None:
+        """An entry is a segment of a block: its least doc_id, its bytes (``chars`` has all, compressed)."""
+        self.waiting.append((block, least, size, chars))
+        self.bytes += len(least) + len(size) + int.from_bytes(chars[:8], "little")
+        if self.bytes >= self.at_once:
+            self._take_in()
+
+    def _take_in(self) -> None:
+        if self.last is not None:
+            if self.file is None:
+                self.file = tempfile.TemporaryFile()  # noqa: SIM115
+            for part in self.last:
+                np.save(self.file, part)
+        blocks, counts = np.array([w[0] for w in self.waiting], np.int64), np.array([len(w[2]) // 2 for w in self.waiting], np.int64)
+        least, size = (np.frombuffer(b"".join(w[k] for w in self.waiting), t).astype(np.int64) for k, t in ((1, "<i8"), (2, "<u2")))
+        chars = np.frombuffer(b"".join(_grown(w[3]) for w in self.waiting), np.uint8)
+        self.waiting, self.bytes = [], 0
+        end = np.cumsum(size)
+        key, anchor = _hashes(chars, end - size, size, self.length)
+        unique, first, entry = np.unique(key, return_index=True, return_inverse=True)
+        number, order = np.arange(len(unique)), np.argsort(self.key)
+        if len(order):  # those already held keep their numbers
+            place = np.minimum(np.searchsorted(self.key, unique, sorter=order), len(order) - 1)
+            known = self.key[order[place]] == unique
+            number = np.where(known, order[place], len(order) + np.cumsum(~known) - 1)
+            first, unique = first[~known], unique[~known]
+        new = size[first]
+        at = np.repeat((end - size)[first] - (np.cumsum(new) - new), new)
+        at += np.arange(len(at))
+        self.chars = np.concatenate([self.chars, chars[at]]) if len(self.chars) else chars[at]
+        self.key, self.anchor, self.size = np.concatenate([self.key, unique]), np.concatenate([self.anchor, anchor[first]]), np.concatenate([self.size, new])
+        self.docs = np.concatenate([self.docs, np.full(len(first), _LAST)])
+        entry = number[entry]
+        np.minimum.at(self.docs, entry, least)
+        self.last = blocks, counts, entry.astype(np.int32), least
+
+    def _taken_in(self) -> Iterator[tuple[np.ndarray, ...]]:
+        if self.file is not None:
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                yield tuple(np.load(self.file) for _ in range(4))
+        if self.last is not None:
+            yield self.last
+
+    def earlier(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(blocks, how many entries of each, for each entry a bit for each window: whether a smaller doc has it)."""
+        if self.waiting:
+            self._take_in()
+        windows = self.size - self.length + 1
+        base = np.cumsum(windows) - windows
+        found = _found(self.docs, self.anchor, self.size, self.chars, self.length)
+        for blocks, counts, entry, least in self._taken_in():
+            bits = np.zeros(len(entry), np.uint64)
+            for o in range(int(windows[entry].max()) if len(entry) else 0):
+                has = windows[entry] > o
+                bits[has] |= (found[base[entry[has]] + o] < least[has]).astype(np.uint64) << U64(o)
+            yield blocks, counts, bits
+
+
+def _found(docs: np.ndarray, anchor: np.ndarray, size: np.ndarray, chars: np.ndarray, length: int) -> np.ndarray:
+    """The least doc of each window of each of a shard's distinct segments (``size`` bytes of ``chars``, first in ``docs``)."""
     windows = size - length + 1
-    found = np.repeat(docs, windows[first])  # of each window of each distinct segment
-    base = np.cumsum(windows[first]) - windows[first]
+    found = np.repeat(docs, windows)
+    base = np.cumsum(windows) - windows
     # windows of different segments can only be equal where the segments have one anchor
-    start = (end - size)[first]
-    _, which, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
+    start = np.cumsum(size) - size
+    _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
     own = np.flatnonzero(count[which] > 1)
     if len(own):
-        n = size[first[own]]
+        n = size[own]
         total = int(n.sum())
         place = np.cumsum(n + 1) - n - 1  # of each segment in what is sorted
         text = np.zeros(total + len(n), np.uint16)
@@ -301,25 +372,27 @@ def earlier_windows(least: np.ndarray, size: np.ndarray, chars: np.ndarray, leng
         group = np.flatnonzero(np.append(True, common[full][1:] < length))
         smallest = np.minimum.reduceat(docs[own][owner[order]], group)
         found[base[own][owner[order]] + order - place[owner[order]]] = np.repeat(smallest, np.diff(np.append(group, len(order))))
-    out = np.zeros(len(size), np.uint64)
-    for o in range(int(windows.max()) if len(windows) else 0):
-        has = windows > o
-        out[has] |= (found[base[entry[has]] + o] < least[has]).astype(np.uint64) << U64(o)
-    return out
+    return found
 
 
-def _earlier(sent: DataFrame, length: int, shards: int) -> DataFrame:
+def _earlier(sent: DataFrame, length: int, shards: int, at_once: int = SHARD) -> DataFrame:
     """block, shard, earlier (5 bytes an entry): bits of the windows that a smaller document has."""
 
+    def told(name: int, shard: Shard) -> Iterator[pa.RecordBatch]:
+        for blocks, counts, bits in shard.earlier():
+            packed = np.split(bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], np.cumsum(counts)[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.full(len(blocks), name, np.int32)), pa.array([_shrunk(x.tobytes()) for x in packed], pa.binary())], ["block", "shard", "earlier"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, offs in grouped(iter(batches), 1):
-            for s, e in zip(offs[:-1], offs[1:], strict=True):
-                part = rows.slice(s, e - s)
-                least, size = (np.frombuffer(b"".join(part.column(k).to_pylist()), t).astype(np.int64) for k, t in ((2, "<i8"), (3, "<u2")))
-                chars = np.frombuffer(b"".join(map(_grown, part.column(4).to_pylist())), np.uint8)
-                bits = earlier_windows(least, size, chars, length).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                count = np.cumsum([len(x) // 2 for x in part.column(3).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array([_shrunk(x.tobytes()) for x in np.split(bits, count[:-1])], pa.binary())], ["block", "shard", "earlier"])
+        name, shard = -1, Shard(length, at_once)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at, *rest = (batch.column(k)[row].as_py() for k in range(5))
+                if at != name:
+                    yield from told(name, shard)
+                    name, shard = at, Shard(length, at_once)
+                shard.add(*rest)
+        yield from told(name, shard)
 
     return sent.repartition(spread(sent.sparkSession, min(shards, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(tidied(run, each=True), "block long, shard int, earlier binary")
 
@@ -352,7 +425,7 @@ def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text:
     bits = Staged(_elsewhere(_anchors(table.read().drop("rest"), length, shards), shards, shard_bytes // SPLIT), "bits")
     _release(spark)
     flagged = table.read().drop("rest").join(_collected(bits.read(), "bits"), "block", "left")
-    earlier = Staged(_earlier(_sent(flagged.select("block", "ids", "offs", "raw", "bits"), length, shards), length, shards), "earlier")
+    earlier = Staged(_earlier(_sent(flagged.select("block", "ids", "offs", "raw", "bits"), length, shards), length, shards, shard_bytes), "earlier")
     _release(spark)
     if left is not None:
         left += [table, bits, earlier]

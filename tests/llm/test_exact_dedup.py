@@ -85,3 +85,34 @@ def test_a_hot_line_in_differing_context_is_split(spark):
     assert max(held.values()) < 2 * sum(held.values()) / shards  # one anchor alone would be all of a shard's
     for shard_bytes in (1 << 14, exact_dedup.SHARD):  # split and whole give the same
         assert _rows(exact_dedup.cut(df, length, block_bytes=1 << 15, shard_bytes=shard_bytes).collect()) == _brute(rows, length)
+
+
+@pytest.mark.parametrize("at_once", [1, 300, 1 << 20])  # the first two use the scratch file
+def test_a_shard_holds_each_distinct_segment_once(at_once):
+    draw = random.Random(5)
+    length, hot = 20, bytes(draw.choice(b"abcd") for _ in range(40))
+    sent = [[(doc, hot[a : a + draw.randint(length, 25)]) for a in draw.sample(range(15), 6)] for doc in draw.sample(range(200), 200)]
+    sent += [[(doc, bytes(draw.choice(b"ab") for _ in range(24))) for _ in range(3)] for doc in range(200, 240)]
+    shard = exact_dedup.Shard(length, at_once)
+    for block, entries in enumerate(sent):
+        shard.add(block, np.array([d for d, _ in entries], "<i8").tobytes(), np.array([len(x) for _, x in entries], "<u2").tobytes(), exact_dedup._shrunk(b"".join(x for _, x in entries)))
+    least = {}
+    for d, x in (e for entries in sent for e in entries):
+        # windows are looked for among segments of one anchor, as equal windows in whole texts have one
+        for o in range(len(x) - length + 1):
+            least[x[o : o + length]] = min(d, least.get(x[o : o + length], d))
+    got = {}
+    for blocks, counts, bits in shard.earlier():
+        for b, part in zip(blocks.tolist(), np.split(bits, np.cumsum(counts)[:-1]), strict=True):
+            got[b] = part.tolist()
+    assert (shard.file is not None) == (at_once < 1000)
+    assert len(shard.key) == len({x for entries in sent for _, x in entries})
+    assert sorted(got) == list(range(len(sent)))
+    same = exact_dedup.Shard(length, 1 << 30)
+    for block, entries in enumerate(sent):
+        same.add(block, np.array([d for d, _ in entries], "<i8").tobytes(), np.array([len(x) for _, x in entries], "<u2").tobytes(), exact_dedup._shrunk(b"".join(x for _, x in entries)))
+    assert got == {b: p.tolist() for blocks, counts, bits in same.earlier() for b, p in zip(blocks.tolist(), np.split(bits, np.cumsum(counts)[:-1]), strict=True)}
+    for b, entries in enumerate(sent):
+        for (d, x), mask in zip(entries, got[b], strict=True):
+            for o in range(len(x) - length + 1):
+                assert not mask >> o & 1 or least[x[o : o + length]] < d
