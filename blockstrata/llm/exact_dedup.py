@@ -17,8 +17,8 @@ has it.
 
 A shard's distinct segments are sorted in memory, and are made to fit: some megabytes of
 text, and without split anchors. A segment or window of a third of all documents is held once
-by its shard, and costs an entry of twelve bytes a block in a scratch file. Blocks are kept compressed, read three times, and rows of
-one block never leave it.
+by its shard, and costs 28 bytes a block in a scratch file. Blocks are kept compressed,
+read three times, and rows of one block never leave it.
 
 Defined results: null counts as empty; a null doc_id sorts behind all others; documents of
 one doc_id don't remove from each other; texts of any length are taken whole; an empty
