@@ -391,7 +391,7 @@ def totals_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TYPES + ', s AS (SELECT g, block, bytes + 20 AS size FROM b) SELECT g AS "group", block, CAST(size AS BIGINT) AS size, CAST(coalesce(sum(size) OVER (PARTITION BY g ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM s')
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each group as a file of its own, written with an index and read back from its end."""
+    """Each group as a file of its own, written with one index behind all its blocks and read back from its end."""
     blocks = _type_blocks(spark, sf_dir).select("group", "block", "payload").repartition("group").sortWithinPartitions("group", "block")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +400,7 @@ def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             for group, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if group not in files:
                     file = io.BytesIO()
-                    files[group] = file, Writer(file.write)
+                    files[group] = file, Writer(file.write, flush=None)
                 files[group][1].write_block(group, payload)
         for group, (file, writer) in files.items():
             writer.close()

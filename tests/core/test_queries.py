@@ -50,6 +50,11 @@ def test_long_files_equal_sql(spark, long_events, name):
     assert _plain(tuple(r) for r in df.collect()) == _plain(tuple(r[i] for i in order) for r in found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["index_roundtrip"])
+def test_long_indexes_equal_sql(spark, long_events, name):
+    test_long_files_equal_sql(spark, long_events, name)
+
+
 def test_messages_keep_null_ids_and_texts(spark, tmp_path):
     rows = [(1, "a"), (1, "a"), (2, ""), (3, None), (None, "x"), (None, "x"), (None, None), (-4, "é\n\x00"), (2**52, "word " * 20_000)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
