@@ -102,3 +102,24 @@ def test_parts_grow_with_the_rows_and_queries_go_to_few(spark):
     row, block = coarse.probed(x[::20], 100)
     assert coarse.probes < 20 and len(block) < 0.6 * len(x[::20]) * coarse.blocks.sum() and block.max() < coarse.blocks.sum()
     assert set(row) == set(range(len(x[::20])))
+
+
+@pytest.mark.parametrize("kind", ["close together", "queries of another kind", "lengths apart", "too long for single precision"])
+def test_none_is_missed(spark, kind):
+    """Rows that codes cannot tell apart, queries that the parts' sample says nothing of, and lengths that no centre has."""
+    draw, n = np.random.default_rng(12), 3000
+    x, centres = draw.normal(size=(n, 16)), draw.normal(size=(12, 16))
+    if kind == "close together":
+        x = centres[draw.integers(0, 12, n)] + 0.01 * x
+    elif kind == "queries of another kind":
+        x[1::2] = 2 * centres[draw.integers(0, 12, n // 2)] + 0.2 * x[1::2]
+    elif kind == "lengths apart":
+        x *= np.exp(3 * draw.normal(size=(n, 1)))
+    else:
+        x *= 1e25
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in sorted(ann.search(ann.build(df, block=500)).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == _brute(np.arange(n), x)
