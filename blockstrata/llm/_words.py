@@ -56,6 +56,19 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * _powers("inverse", len(prefix))[starts])
 
 
+def run_hashes(prefix: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all spans of ``length`` bytes, as span_hashes has them."""
+    h = prefix[length:] - prefix[:-length]
+    h *= _powers("inverse", len(prefix))[: len(h)]
+    shifted = h >> U64(32)
+    for _ in range(2):
+        h ^= shifted
+        h *= U64(0xD6E8FEB86659FD93)
+        np.right_shift(h, U64(32), out=shifted)
+    h ^= shifted
+    return h
+
+
 class Texts:
     """A chunk of texts: ``raw`` bytes, ``offs`` offsets of each text in them."""
 

@@ -11,7 +11,8 @@ segments than a shard should hold (a common line in ever other context) is split
 its windows goes for itself, to the shard of its own hash. A shard orders the
 suffixes of its distinct segments by induced sorting (induced.py); neighbours with
 a common prefix of ``length`` or more are one string, whose least doc_id follows; a
-segment that has its anchor to itself needs no sorting, as no other can match it. A block
+segment needs sorting only if its anchor, with half of a window's other bytes before or behind it,
+is another's too, as no other can match it. A block
 gets back a bit for each window of what it sent: whether a smaller document than its own
 has it.
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockstrata.llm._base import Staged, grouped, small_batches, spread, text_chunks, tidied
-from blockstrata.llm._words import U64, prefix_hashes, span_hashes
+from blockstrata.llm._words import U64, prefix_hashes, run_hashes, span_hashes
 from blockstrata.llm.induced import suffixes
 
 GRAM = 16
@@ -48,11 +49,14 @@ GRAM = 16
 SHARD = 4 << 20
 #: An anchor is split from one segment for so many of a shard's bytes on; blocks give counts beyond FEW, fewer count as one.
 SPLIT, FEW = 128, 4
-#: Bytes in a block, and in what is worked on at once.
-BLOCK, _STRIP = 2 << 20, 1 << 19
+#: Bytes in a block of a small input, and in what is worked on at once: few enough to stay in a core's cache.
+BLOCK, _STRIP = 2 << 20, 1 << 15
+#: From so many blocks on they grow instead, up to so many times: what shuffles hold is rows by blocks and shards.
+MANY_BLOCKS, MOST_GROWN = 512, 4
 _LOW = U64((1 << 40) - 1)
 #: The bits of a gram's hash that its place takes when the least is looked for.
 _PLACE = U64(2 * _STRIP - 1)
+_PLACES = np.arange(2 * _STRIP, dtype=np.uint64)
 _LAST = np.iinfo(np.int64).max
 
 
@@ -75,12 +79,25 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(_grown(data)).read_next_batch()
 
 
+def _joined(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``least`` bytes or more, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.concat_batches(held) if len(held) > 1 else batch
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def blocks(docs: DataFrame, keep: Sequence[str] = (), block_bytes: int = BLOCK) -> DataFrame:
-    """block, ids (8 bytes each, and a byte each for a null id and for a null text), offs, raw, rest (other columns): about two megabytes of texts each."""
+    """block, ids (8 bytes each, and a byte each for a null id and for a null text), offs, raw, rest (other columns): about ``block_bytes`` of texts each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in _joined(batches, block_bytes):
             for a, e, raw, offs in text_chunks(batch.column(1), block_bytes):
                 own, text = batch.column(0).slice(a, e - a), batch.column(1).slice(a, e - a)
                 ids = own.fill_null(_LAST).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
@@ -110,22 +127,29 @@ class Block:
         wide, count = length - GRAM + 1, len(raw) - GRAM + 1
         if count < wide:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.arange(count)
-        hashes = span_hashes(prefix_hashes(raw), at, at + GRAM)
-        least, span = (hashes & ~_PLACE) | at.astype(np.uint64), 1
+        hashes = run_hashes(prefix_hashes(raw), GRAM)
+        least, span = hashes & ~_PLACE, 1
+        least |= _PLACES[:count]
         while span * 2 <= wide:
             least, span = np.minimum(least[: len(least) - span], least[span:]), span * 2
         if span < wide:
             least = np.minimum(least[: len(least) - (wide - span)], least[wide - span :])
-        cut = np.zeros(len(raw) + 1, np.int64)  # documents that have ended; a window lies in one if none ends inside
-        ends = self.offs[1:] - lo
-        np.add.at(cut, ends[(ends > 0) & (ends <= len(raw))], 1)
-        ended = np.cumsum(cut)
-        window = np.arange(min(len(least), _STRIP))
-        window = window[ended[window] == ended[window + length - 1]]
-        place = (least[window] & _PLACE).astype(np.int64)
-        new = np.ones(len(window), bool)
-        new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
+        n = min(len(least), _STRIP)
+        place = (least[:n] & _PLACE).view(np.int64)
+        new = np.ones(n, bool)
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        # a window lies in one document if none ends inside
+        ends = self.offs[np.searchsorted(self.offs, lo, side="right") : np.searchsorted(self.offs, hi)] - lo
+        if not len(ends):
+            first = np.flatnonzero(new)
+            return first + lo, np.diff(first, append=n), hashes[place[first]]
+        ended = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(ended, ends, 1)
+        ended = np.cumsum(ended, dtype=np.int32)
+        window = np.flatnonzero(ended[:n] == ended[length - 1 : length - 1 + n])
+        place, new = place[window], new[window]
+        new[:1] = True
+        new[1:] |= window[1:] != window[:-1] + 1
         first = np.flatnonzero(new)
         return window[first] + lo, np.diff(np.append(first, len(window))), hashes[place[first]]
 
@@ -257,18 +281,37 @@ def _sent(table: DataFrame, length: int, shards: int) -> DataFrame:
 
 
 def _hashes(chars: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and anchor of each segment, some thousands at a time."""
-    key, anchor = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    """Hash of each segment, and (2, segments) hashes of the anchor with what is before and behind it, some thousands at a time; 0 where a segment has too little.
+
+    Every window has its anchor and, before or behind it, half of its other bytes at least: so segments that share a
+    window share one of the two.
+    """
+    key, sides = np.zeros(len(size), np.uint64), np.zeros((2, len(size)), np.uint64)
+    half = -(-(length - GRAM) // 2)
     for at in range(0, len(size), 4096):
         own = slice(at, at + 4096)
         low = start[at]
         prefix = prefix_hashes(chars[low : start[own][-1] + size[own][-1]])
         begin = start[own] - low
-        key[own] = span_hashes(prefix, begin, begin + size[own]) ^ size[own].astype(np.uint64)
-        inside = begin[:, None] + np.arange(length - GRAM + 1)
-        grams = span_hashes(prefix, inside, inside + GRAM)
-        anchor[own] = grams[np.arange(len(grams)), (grams & ~_PLACE).argmin(1)]
-    return key, anchor
+        end = begin + size[own]
+        key[own] = span_hashes(prefix, begin, end) ^ size[own].astype(np.uint64)
+        grams = run_hashes(prefix, GRAM)[begin[:, None] + np.arange(length - GRAM + 1)]
+        place = (grams & ~_PLACE).argmin(1)
+        place += begin
+        for side, (a, b) in zip(sides, ((place - half, place + GRAM), (place, place + GRAM + half)), strict=True):
+            has = (a >= begin) & (b <= end)
+            side[at : at + len(has)][has] = span_hashes(prefix, a[has], b[has])
+    return key, sides
+
+
+def _shared_sides(sides: np.ndarray) -> np.ndarray:
+    """Segments of which one side is another's too."""
+    out = np.zeros(sides.shape[1], bool)
+    for side in sides:
+        has = np.flatnonzero(side)
+        _, which, count = np.unique(side[has], return_inverse=True, return_counts=True)
+        out[has] |= count[which] > 1
+    return out
 
 
 class Shard:
@@ -283,7 +326,7 @@ class Shard:
         self.bytes = 0
         self.file = None
         self.last: tuple[np.ndarray, ...] | None = None
-        self.key, self.anchor = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.key, self.sides = np.zeros(0, np.uint64), np.zeros((2, 0), np.uint64)
         self.docs, self.size, self.chars = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def add(self, block: int, least: bytes, size: bytes, chars: bytes) -> None:
@@ -304,7 +347,7 @@ class Shard:
         chars = np.frombuffer(b"".join(_grown(w[3]) for w in self.waiting), np.uint8)
         self.waiting, self.bytes = [], 0
         end = np.cumsum(size)
-        key, anchor = _hashes(chars, end - size, size, self.length)
+        key, sides = _hashes(chars, end - size, size, self.length)
         unique, first, entry = np.unique(key, return_index=True, return_inverse=True)
         number, order = np.arange(len(unique)), np.argsort(self.key)
         if len(order):  # those already held keep their numbers
@@ -316,7 +359,7 @@ class Shard:
         at = np.repeat((end - size)[first] - (np.cumsum(new) - new), new)
         at += np.arange(len(at))
         self.chars = np.concatenate([self.chars, chars[at]]) if len(self.chars) else chars[at]
-        self.key, self.anchor, self.size = np.concatenate([self.key, unique]), np.concatenate([self.anchor, anchor[first]]), np.concatenate([self.size, new])
+        self.key, self.sides, self.size = np.concatenate([self.key, unique]), np.concatenate([self.sides, sides[:, first]], axis=1), np.concatenate([self.size, new])
         self.docs = np.concatenate([self.docs, np.full(len(first), _LAST)])
         entry = number[entry]
         np.minimum.at(self.docs, entry, least)
@@ -337,7 +380,7 @@ class Shard:
             self._take_in()
         windows = self.size - self.length + 1
         base = np.cumsum(windows) - windows
-        found = _found(self.docs, self.anchor, self.size, self.chars, self.length)
+        found = _found(self.docs, self.sides, self.size, self.chars, self.length)
         for blocks, counts, entry, least in self._taken_in():
             bits = np.zeros(len(entry), np.uint64)
             for o in range(int(windows[entry].max()) if len(entry) else 0):
@@ -346,15 +389,14 @@ class Shard:
             yield blocks, counts, bits
 
 
-def _found(docs: np.ndarray, anchor: np.ndarray, size: np.ndarray, chars: np.ndarray, length: int) -> np.ndarray:
+def _found(docs: np.ndarray, sides: np.ndarray, size: np.ndarray, chars: np.ndarray, length: int) -> np.ndarray:
     """The least doc of each window of each of a shard's distinct segments (``size`` bytes of ``chars``, first in ``docs``)."""
     windows = size - length + 1
     found = np.repeat(docs, windows)
     base = np.cumsum(windows) - windows
-    # windows of different segments can only be equal where the segments have one anchor
+    # windows of different segments can only be equal where the segments have one anchor, and half of what is around it, in common
     start = np.cumsum(size) - size
-    _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    own = np.flatnonzero(count[which] > 1)
+    own = np.flatnonzero(_shared_sides(sides))
     if len(own):
         n = size[own]
         total = int(n.sum())
@@ -414,12 +456,18 @@ def _removed(block: Block, shards: int, bits: dict[int, bytes], earlier: dict[in
     return np.cumsum(change)[:-1] > 0
 
 
+def grown(block_bytes: int, total: int) -> int:
+    """Bytes of a block where there are ``total`` bytes of text."""
+    return max(block_bytes, min(MOST_GROWN * block_bytes, total // MANY_BLOCKS))
+
+
 def cut(docs: DataFrame, length: int = 50, keep: Sequence[str] = (), with_text: bool = False, block_bytes: int = BLOCK, shard_bytes: int = SHARD, left: list[Staged] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of ``docs`` (doc_id, text), before them its ``keep`` columns; ``kept_text``, what stays without characters that were cut in part (null for null), if asked for. Smaller blocks and shards take less memory at a time and more rows in shuffles. ``left`` gets the tables that the result reads."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of ``docs`` (doc_id, text), before them its ``keep`` columns; ``kept_text``, what stays without characters that were cut in part (null for null), if asked for. Smaller blocks and shards take less memory at a time and more rows in shuffles; with more than MANY_BLOCKS blocks are larger. ``left`` gets the tables that the result reads."""
     spark = docs.sparkSession
     if not GRAM < length <= GRAM + 39:  # a segment's windows fit 40 bits
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 39}")
-    table = Staged(blocks(docs, keep, block_bytes), "blocks")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    table = Staged(blocks(docs, keep, grown(block_bytes, total)), "blocks")
     size = table.read().agg(F.sum(F.octet_length("offs")), F.sum(F.octet_length("raw"))).first()
     shards = spread(spark, -(-3 * (size[1] or 0) // shard_bytes))
     bits = Staged(_elsewhere(_anchors(table.read().drop("rest"), length, shards), shards, shard_bytes // SPLIT), "bits")

@@ -116,3 +116,46 @@ def test_a_shard_holds_each_distinct_segment_once(at_once):
         for (d, x), mask in zip(entries, got[b], strict=True):
             for o in range(len(x) - length + 1):
                 assert not mask >> o & 1 or least[x[o : o + length]] < d
+
+
+def test_only_what_can_match_is_sorted(monkeypatch):
+    """Segments of one anchor in contexts that differ on both sides of it go past the sort; those with one side in common don't, and are found."""
+    draw = random.Random(9)
+    text = lambda n: bytes(draw.choice(b"abcdefgh") for _ in range(n))
+    sorted_ = []
+    monkeypatch.setattr(exact_dedup, "suffixes", lambda x: sorted_.append(len(x)) or induced.suffixes(x))
+
+    def segments(whole):
+        block = exact_dedup.Block(np.array([0], "<i8").tobytes() + b"\0\0", np.array([0, len(whole)], "<i8").tobytes(), exact_dedup._shrunk(whole), 50)
+        return [(int(a), whole[s : s + w + 49]) for s, w, a in zip(block.start, block.windows, block.anchor, strict=True)]
+
+    gram = min((text(16) for _ in range(20_000)), key=lambda g: int(exact_dedup.run_hashes(exact_dedup.prefix_hashes(np.frombuffer(g, np.uint8)), 16)[0]))
+    anchor = segments(gram + text(34))[0][0]
+    wholes = [text(40) + gram + text(40) for _ in range(300)]
+    shared = text(40) + gram + text(17)
+    for own, count in ((wholes, 0), ([*wholes, shared + text(23), shared + text(23)], 2)):
+        shard = exact_dedup.Shard(50, 1 << 20)
+        for block, whole in enumerate(own):
+            entries = [x for a, x in segments(whole) if a == anchor]
+            shard.add(block, np.full(len(entries), block, "<i8").tobytes(), np.array([len(x) for x in entries], "<u2").tobytes(), exact_dedup._shrunk(b"".join(entries)))
+        sorted_.clear()
+        bits = {b: m for blocks, counts, found in shard.earlier() for b, m in zip(np.repeat(blocks, counts).tolist(), found.tolist(), strict=True)}
+        assert len(bits) > 250 and sum(sorted_) <= count * 86
+        assert {b for b, m in bits.items() if m} == ({301} if count else set())
+
+
+@pytest.mark.parametrize("length", [1, 16, 40])
+def test_hashes_of_all_spans(length):
+    prefix = exact_dedup.prefix_hashes(np.frombuffer(random.Random(2).randbytes(3000), np.uint8))
+    at = np.arange(3001 - length)
+    assert (exact_dedup.run_hashes(prefix, length) == exact_dedup.span_hashes(prefix, at, at + length)).all()
+
+
+def test_blocks_grow_with_the_input(spark, monkeypatch):
+    assert [exact_dedup.grown(2 << 20, n) for n in (0, 1 << 30, 3 << 29, 1 << 40)] == [2 << 20, 2 << 20, 3 << 20, 8 << 20]
+    monkeypatch.setattr(exact_dedup, "MANY_BLOCKS", 4)
+    draw = random.Random(6)
+    shared = ["".join(draw.choice("abc ") for _ in range(80)) for _ in range(20)]
+    rows = [(i, None if i % 50 == 0 else draw.choice(shared) + draw.choice(shared)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert _rows(exact_dedup.cut(df, 50, block_bytes=5000).collect()) == _brute(rows)
