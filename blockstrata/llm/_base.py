@@ -102,14 +102,24 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
 
 #: Bytes of rows that Spark hands to Python at once, at most.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+#: Rows that Spark's reader of Parquet decodes at once, at most; it holds them twice as it grows, in each task.
+READ_ROWS = 256
+#: Bytes of a row group of the Parquet that is written: a task holds one whole as it writes, and of one what it reads of its columns.
+ROW_GROUP = 16 << 20
 
 
 def small_transfers(spark: SparkSession) -> None:
-    """Bound what Spark hands to Python at once by bytes too: rows of documents have any length. Lowers the session's settings, never raises them."""
+    """Bound what Spark hands to Python at once by bytes too, and what a task reads and writes at once: rows of documents have any length. Lowers the session's settings, never raises them."""
     if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    # Spark hands a session's settings to the writer, so this holds for what callers write of a result too
+    found = spark.conf.get("parquet.block.size", None) or spark._jsc.hadoopConfiguration().get("parquet.block.size")
+    if not found or int(found) > ROW_GROUP:
+        spark.conf.set("parquet.block.size", str(ROW_GROUP))
 
 
 def spread(spark: SparkSession, least: int = 1) -> int:

@@ -66,3 +66,19 @@ def test_other_columns_and_running_twice(spark, as_dir):
     one, two = (sorted(map(key, corpus_pipeline.run(spark, f).collect())) for f in (folder, SF))
     assert one == two and len(one) > 50
     assert corpus_pipeline._LEFT == []
+
+
+def test_a_task_holds_little_of_what_stages_read_and_write(spark, tmp_path):
+    """A stage's result is in small row groups, whoever writes it, and the next one reads few rows at once."""
+    import pyarrow.parquet as pq
+
+    for name in ("spark.sql.parquet.columnarReaderBatchSize", "parquet.block.size"):
+        spark.conf.unset(name)
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12000), x -> hex(xxhash64(id, x)))) AS text", "'en' AS lang", "'a' AS source", "204000L AS n_chars").repartition(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    read = spark.read.parquet(str(tmp_path / "documents.parquet")).coalesce(1)
+    corpus_pipeline.keep_good_sites(spark, read, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    groups = [pq.ParquetFile(f).metadata.row_group(i).total_byte_size for f in (tmp_path / "out").glob("*.parquet") for i in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) > 100 << 20 and max(groups) < 48 << 20
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
